@@ -1,8 +1,10 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from graphlake.llm import substring
+from graphlake.llm import lzprint, minhash, substring
 
 QUERIES = {
+    "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+    "op5_document_fingerprints": lzprint.op5_document_fingerprints,
     "op4_substring_dedup": substring.op4_substring_dedup,
 }
 SQL = {
