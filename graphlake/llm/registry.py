@@ -1,12 +1,15 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from graphlake.llm import lzprint, minhash, substring
+from graphlake.llm import lzprint, minhash, mixing, packing, substring
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op8_packing": packing.op8_packing,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op5_document_fingerprints": lzprint.op5_document_fingerprints,
     "op4_substring_dedup": substring.op4_substring_dedup,
 }
 SQL = {
+    "op2_mixing": mixing.SQL,
     "op4_substring_dedup": substring.SQL,
 }
