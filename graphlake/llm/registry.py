@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from graphlake.llm import lzprint, minhash, mixing, packing, substring
+from graphlake.llm import langid, lzprint, minhash, mixing, packing, substring
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op8_packing": packing.op8_packing,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
