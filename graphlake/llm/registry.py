@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from graphlake.llm import langid, lzprint, minhash, mixing, packing, substring, toxicity
+from graphlake.llm import langid, lzprint, minhash, mixing, packing, pii, substring, toxicity
 
 QUERIES = {
+    "op10_pii": pii.op10_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_language_id": langid.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
