@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from graphlake.llm import hpylm, langid, lzprint, minhash, mixing, packing, pii, substring, toxicity
+from graphlake.llm import ann, hpylm, langid, lzprint, minhash, mixing, packing, pii, substring, toxicity
 
 QUERIES = {
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op3_lm_scoring": hpylm.op3_lm_scoring,
     "op10_pii": pii.op10_pii,
     "op6_toxicity": toxicity.op6_toxicity,
