@@ -13,6 +13,7 @@ from graphlake.llm import textops as T
 HIDDEN, SEGMENT = 8, 64
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 640
 OTHER = "und"
+REJECT = 0.998
 _ROWS = 2048
 
 
@@ -208,7 +209,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
         offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         seg, live, _ = segments(np.frombuffer(b"".join(texts), np.uint8), offs, SEGMENT)
         pick = rng.integers(0, len(seg), 3000)
-        segs.append(seg[pick])
+        own = seg[pick]
+        own[:600] -= 32 * ((own[:600] >= 97) & (own[:600] <= 122)).astype(np.uint8)  # a fifth in capitals
+        segs.append(own)
         lives.append(live[pick])
         labels.append(np.full(3000, c))
     shuffled = rng.permuted(np.concatenate(segs), axis=1)
@@ -223,6 +226,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return net
 
 
+def known(prob: np.ndarray) -> np.ndarray:
+    """Documents that are in some language: all but those with nearly all of their mass on ``und``. Numbers, capitals or code in a text do not suffice."""
+    return prob[:, -1] < REJECT
+
+
 def _identify(net: Network | None):
     def run(batches):
         for batch in batches:
@@ -233,13 +241,13 @@ def _identify(net: Network | None):
                     prob, votes = np.zeros((j - i, 1)), np.zeros((j - i, 1), np.int64)
                 else:
                     prob, votes = net.documents(data, offs)
-                best = prob.argmax(axis=1)
                 some = (size > 0) & (net is not None)
+                keep = some & known(prob)
+                best = np.where(keep, prob[:, :-1].argmax(axis=1), prob.shape[1] - 1) if net else np.zeros(j - i, int)
                 names = pa.array(net.classes if net else [OTHER])
                 lang = pa.array(np.where(some, best, -1)).cast(pa.int32())
                 lang = names.take(pc.if_else(pc.less(lang, 0), None, lang))
                 agree = votes[np.arange(j - i), best]
-                keep = some & (best < prob.shape[1] - 1)
                 yield pa.RecordBatch.from_arrays([T.id_array(doc_ids[i:j]), lang, pa.array(np.round(prob[np.arange(j - i), best], 6)), pa.array(size), pa.array(agree), pa.array(keep)], names=["doc_id", "language", "probability", "n_bytes", "n_agree", "keep"])
 
     return run
@@ -250,7 +258,8 @@ def identify(docs: DataFrame, net: Network | None = None, **training) -> DataFra
 
     The network (fitted here by :func:`train` unless given) labels every byte of the whole text, read in segments of 64
     bytes from both ends of each; ``probability`` is the mean over all positions for the ``language`` whose mean is greatest (ties: the
-    first by name), ``n_agree`` counts the positions that it labels. ``keep`` is false for texts without a language (``und``).
+    first by name), ``n_agree`` counts the positions that it labels. A text whose mean for ``und`` is REJECT or more is in no
+    language: ``language`` is ``und`` and ``keep`` false.
 
     Null and empty texts have a null language, probability 0 and are not kept; where nothing is labelled, nothing can be
     fitted, and that holds for all rows. Repeated rows and null doc_ids are rows like others; other columns are ignored.
@@ -272,7 +281,7 @@ def keep_known(docs: DataFrame, net: Network | None = None, **training) -> DataF
             keep = [np.zeros(0, bool)]
             for i, j, data, offs in T.chunks(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), 1 << 20):
                 prob = net.documents(data, offs)[0] if net else np.zeros((j - i, 1))
-                keep.append((np.diff(offs) > 0) & (prob.argmax(axis=1) < prob.shape[1] - 1))
+                keep.append((np.diff(offs) > 0) & known(prob) & (net is not None))
             yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)
