@@ -1,4 +1,577 @@
-"""All registered queries of the graph engine and their SQL."""
+"""All registered queries of the graph engine, each over whole tables, and their DuckDB SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphlake import capacity
+from graphlake import schema as S
+from graphlake.functions import vectors as V
+from graphlake.graph import Graph
+from graphlake.operators import analytics, columnar, gnn, mutate, traversal, vector
+from graphlake.operators.components import connected_components
+from graphlake.plans import cypher
+from graphlake.session import scratch_root
+from graphlake.sources import export, kg, tables
+from graphlake.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_PURCHASED = "purchased AS (SELECT o_custkey * 8 + 1 AS src, l_partkey * 8 + 2 AS dst, sum(l_quantity) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+_SUPPLIES = "sup AS (SELECT DISTINCT l_partkey * 8 + 2 AS src, l_suppkey * 8 + 3 AS dst FROM lineitem)"
+_PLACE = """place AS (SELECT c_custkey * 8 + 1 AS src, c_nationkey::BIGINT * 8 + 4 AS dst FROM customer
+  UNION ALL SELECT s_suppkey * 8 + 3, s_nationkey::BIGINT * 8 + 4 FROM supplier UNION ALL SELECT n_nationkey::BIGINT * 8 + 4, n_regionkey::BIGINT * 8 + 5 FROM nation)"""
+_UNDIRECTED = f"{_PURCHASED}, und AS (SELECT src, dst, weight FROM purchased UNION ALL SELECT dst, src, weight FROM purchased)"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- scans, filters, lookups ------------------------------------------------------------------
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, c_name AS name, c_acctbal AS amount FROM customer")
+def filter_nodes_by_kind(spark, d):
+    return tables.graph(spark, d, ("Customer", "Supplier"), ("IN_REGION",)).nodes_by_label("Customer").select("id", "name", "amount")
+
+
+@query("SELECT o_custkey * 8 + 1 AS src, o_orderkey * 8 + 6 AS dst, o_totalprice AS weight FROM orders")
+def filter_edges_by_label(spark, d):
+    return tables.graph(spark, d, ("Region",), ("PLACED", "IN_REGION")).edges_by_label("PLACED").select("src", "dst", "weight")
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, 'Customer' AS label, c_name AS name, c_acctbal AS amount FROM customer WHERE c_custkey = 7")
+def find_node(spark, d):
+    return tables.graph(spark, d, ("Customer", "Part"), ("IN_REGION",)).find_node(7 * 8 + 1)
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def lookup_batch(spark, d):
+    ids = tables.table(spark, d, "orders").where("o_orderstatus = 'F'").select(tables.node_id("o_custkey", "Customer").alias("id"))
+    return tables.graph(spark, d, ("Customer",), ("IN_REGION",)).lookup(ids).select("id", "name")
+
+
+@query("SELECT o_orderkey * 8 + 6 AS dst, o_totalprice AS weight FROM orders WHERE o_custkey = 1")
+def outgoing_edges(spark, d):
+    return tables.graph(spark, d, ("Customer",), ("PLACED",)).outgoing(9).select("dst", "weight")
+
+
+@query(f"WITH {_PLACE} SELECT src FROM place WHERE dst = 3 * 8 + 4")
+def incoming_edges(spark, d):
+    return tables.graph(spark, d, ("Nation",), ("LOCATED_IN", "IN_REGION")).incoming(3 * 8 + 4).select("src")
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def find_nodes_by_property(spark, d):
+    n = tables.table(spark, d, "customer").select(tables.node_id("c_custkey", "Customer").alias("id"), F.lit("Customer").alias("label"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return Graph(n, tables.edges(spark, d, "IN_REGION")).nodes_by_property("Customer", "segment", "BUILDING").select("id", "name")
+
+
+@query("SELECT vec_id AS id FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL AND embedding IS NOT NULL")
+def component_filter(spark, d):
+    n = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang").join(tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "full")
+    return Graph(n, n).nodes_with("lang", "embedding").select("id")
+
+
+@query("SELECT event_id AS row_idx FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def filter_eq(spark, d):
+    e = tables.table(spark, d, "events").withColumnRenamed("event_id", "row_idx")
+    first = e.agg(F.min("event_type")).first()[0]
+    return columnar.rows_equal(e, "event_type", first)
+
+
+@query("SELECT event_id AS row_idx FROM events WHERE value BETWEEN 10 AND 20")
+def filter_range(spark, d):
+    return columnar.rows_between(tables.table(spark, d, "events").withColumnRenamed("event_id", "row_idx"), "value", 10, 20)
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part")
+def select_columns(spark, d):
+    return tables.table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def json_property(spark, d):
+    return tables.table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+# --- aggregates -------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS count, sum(o_custkey)::BIGINT AS sum, min(o_custkey) AS min, max(o_custkey) AS max FROM orders")
+def aggregate_integer(spark, d):
+    return columnar.aggregates(tables.table(spark, d, "orders"), "o_custkey", ("count", "sum", "min", "max"))
+
+
+@query("SELECT count(value) AS count, round(sum(value), 2) AS sum, round(avg(value), 6) AS average, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS stddev, round(stddev_pop(value), 6) AS stddev_pop FROM events")
+def aggregate_float(spark, d):
+    a = columnar.aggregates(tables.table(spark, d, "events"), "value", ("count", "sum", "average", "min", "max", "stddev", "stddev_pop"))
+    return a.withColumns({"sum": F.round("sum", 2)} | {c: F.round(c, 6) for c in ("average", "stddev", "stddev_pop")})
+
+
+@query("SELECT o_custkey * 8 + 1 AS id, count(*) AS degree FROM orders GROUP BY 1")
+def out_degree(spark, d):
+    return tables.graph(spark, d, ("Customer",), ("PLACED",)).degrees("out")
+
+
+@query(f"WITH {_PURCHASED} SELECT id, name, degree FROM (SELECT src AS id, count(*) AS degree FROM purchased GROUP BY 1) JOIN (SELECT c_custkey * 8 + 1 AS id, c_name AS name FROM customer) USING (id) ORDER BY degree DESC, id LIMIT 10")
+def degree_topk(spark, d):
+    g = tables.graph(spark, d, ("Customer",), ("PURCHASED",))
+    top = g.degrees("out").orderBy(F.desc("degree"), "id").limit(10)
+    return top.join(g.nodes, "id").select("id", "name", "degree")
+
+
+@query("SELECT n + m + p + s + t + o AS node_count, x + y AS edge_count, v AS embedding_count, round((n + m + p + s + t + o + x + y + v) / 61000.0::DOUBLE, 6) AS utilization FROM (SELECT count(*) n FROM customer), (SELECT count(*) m FROM part), (SELECT count(*) p FROM supplier), (SELECT count(*) s FROM nation), (SELECT count(*) t FROM region), (SELECT count(*) o FROM orders), (SELECT count(*) x FROM orders), (SELECT count(*) y FROM lineitem), (SELECT count(*) v FROM embeddings)")
+def graph_stats(spark, d):
+    return Graph(tables.nodes(spark, d), tables.edges(spark, d, "PLACED", "CONTAINS"), tables.table(spark, d, "embeddings")).stats()
+
+
+@query("SELECT id, degree FROM (SELECT id, count(*) AS degree FROM (SELECT o_custkey * 8 + 1 AS id FROM orders UNION ALL SELECT o_orderkey * 8 + 6 FROM orders) GROUP BY 1) WHERE degree > 10")
+def degree_centrality(spark, d):
+    return analytics.degree_centrality(tables.edges(spark, d, "PLACED"), at_least=10)
+
+
+@query("SELECT count(*) AS vectors, max(len(embedding))::INT AS dims, sum(len(embedding))::BIGINT * 4 AS bytes FROM embeddings")
+def vector_stats(spark, d):
+    return tables.table(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dims"), (F.sum(F.size("embedding")) * 4).alias("bytes"))
+
+
+# --- encodings --------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, round(value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0), 6) AS delta FROM events")
+def delta_encode(spark, d):
+    return columnar.delta_encode(tables.table(spark, d, "events"), "value", "event_id", ["user_id"]).select("event_id", "user_id", F.round("delta", 6).alias("delta"))
+
+
+@query("SELECT p_type AS value, row_number() OVER (ORDER BY min(p_partkey), p_type) - 1 AS code FROM part GROUP BY p_type")
+def dictionary_encode(spark, d):
+    return columnar.dictionary(tables.table(spark, d, "part"), "p_type", "p_partkey")
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a)
+SELECT user_id, run::BIGINT AS run, min(event_type) AS value, min(event_id) AS start, count(*) AS length FROM b GROUP BY user_id, run""")
+def run_length_encode(spark, d):
+    return columnar.run_lengths(tables.table(spark, d, "events"), "event_type", "event_id", ["user_id"])
+
+
+@query("SELECT count(p_size) AS n, length(bin(max(p_size) - min(p_size)))::BIGINT AS bits, ceil(count(p_size) * length(bin(max(p_size) - min(p_size))) / 8)::BIGINT AS bytes FROM part")
+def bit_packing(spark, d):
+    return columnar.bit_width(tables.table(spark, d, "part"), "p_size").select("n", "bits", F.col("bytes").cast("long").alias("bytes"))
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+
+def _first_vector(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    return e, [float(x) for x in e.orderBy("vec_id").first().embedding]
+
+
+_Q = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, q FROM embeddings, q)"
+
+
+def _topk(metric: str, sim: str, dist: str):
+    def run(spark, d):
+        e, q = _first_vector(spark, d)
+        return vector.topk(e, q, 10, metric, "vec_id").withColumns({"similarity": F.round("similarity", 6), "distance": F.round("distance", 6)})
+
+    run.__name__ = f"{metric}_topk"
+    query(f"WITH {_Q}, s AS (SELECT id, {sim} AS s, {dist} AS dist FROM e) SELECT id, round(s, 6) AS similarity, round(dist, 6) AS distance FROM s ORDER BY s DESC, id LIMIT 10")(run)
+
+
+_L1 = "list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - q[i])))"
+_HAM = "list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] <> q[i] THEN 1.0::DOUBLE ELSE 0.0 END))"
+_topk("cosine", "list_cosine_similarity(v, q)", "1 - list_cosine_similarity(v, q)")
+_topk("euclidean", "1 / (1 + list_distance(v, q))", "list_distance(v, q)")
+_topk("manhattan", f"1 / (1 + {_L1})", _L1)
+_topk("dot", "list_dot_product(v, q)", "-list_dot_product(v, q)")
+_topk("hamming", f"1 / (1 + {_HAM})", _HAM)
+
+_COS = "c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON {on})"
+
+
+@query(f"WITH {_COS.format(on='a.vec_id <> b.vec_id')} SELECT a AS id, (row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b))::INT AS rank, b AS other, round(s, 6) AS similarity FROM c QUALIFY rank <= 3")
+def knn_join(spark, d):
+    return vector.knn_join(tables.table(spark, d, "embeddings"), 3, "vec_id")
+
+
+@query(f"WITH {_COS.format(on='a.vec_id < b.vec_id')} SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.4")
+def similarity_join(spark, d):
+    return vector.similarity_join(tables.table(spark, d, "embeddings"), 0.4, "vec_id")
+
+
+@query()
+def lsh_topk(spark, d):
+    e, q = _first_vector(spark, d)
+    return vector.lsh_search(e, q, 10, id_col="vec_id").withColumns({"similarity": F.round("similarity", 6), "distance": F.round("distance", 6)})
+
+
+@query("SELECT label, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label")
+def vector_norms(spark, d):
+    return tables.table(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(V.norm("embedding")), 6).alias("mean_norm"))
+
+
+# --- traversal --------------------------------------------------------------------------------
+
+_BFS = f"""WITH RECURSIVE {_UNDIRECTED}, r(id, distance) USING KEY (id) AS (SELECT 1::BIGINT, 0 UNION
+ SELECT u.dst, min(r.distance) + 1 FROM r JOIN und u ON u.src = r.id LEFT JOIN recurring.r z ON z.id = u.dst WHERE z.id IS NULL GROUP BY u.dst)"""
+
+
+def _und(spark, d):
+    return traversal.undirected(tables.edges(spark, d, "PURCHASED").select("src", "dst", "weight"))
+
+
+@query(f"{_BFS} SELECT r.id, r.distance, coalesce(min(p.id), 0) AS predecessor FROM r LEFT JOIN (und u JOIN r p ON p.id = u.src) ON u.dst = r.id AND p.distance = r.distance - 1 GROUP BY 1, 2")
+def bfs_distances(spark, d):
+    return traversal.bfs(_und(spark, d), 1).fillna(0, "predecessor")
+
+
+@query(f"{_BFS} SELECT distance AS depth, count(*) AS n FROM r WHERE distance <= 2 GROUP BY 1")
+def khop2(spark, d):
+    return traversal.khop(_und(spark, d), 1, 2).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_UNDIRECTED}, r(id, distance) USING KEY (id) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION
+ SELECT u.dst, min(r.distance + u.weight) FROM r JOIN und u ON u.src = r.id LEFT JOIN recurring.r z ON z.id = u.dst GROUP BY u.dst, z.distance HAVING z.distance IS NULL OR min(r.distance + u.weight) < z.distance)
+SELECT id, distance FROM r""")
+def sssp_distances(spark, d):
+    return traversal.sssp(_und(spark, d), 1).select("id", "distance")
+
+
+@query(f"""WITH RECURSIVE {_PLACE}, r AS (SELECT 1::BIGINT AS id UNION SELECT p.dst FROM r JOIN place p ON p.src = r.id) SELECT id FROM r""")
+def reachable(spark, d):
+    return traversal.bfs(tables.edges(spark, d, "LOCATED_IN", "IN_REGION"), 1).select("id")
+
+
+@query(f"""WITH RECURSIVE {_PLACE}, r AS (SELECT 1::BIGINT AS id, [1::BIGINT] AS path UNION ALL SELECT p.dst, list_append(path, p.dst) FROM r JOIN place p ON p.src = r.id)
+SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS length FROM r WHERE id % 8 = 5""")
+def shortest_path(spark, d):
+    e = tables.edges(spark, d, "LOCATED_IN", "IN_REGION")
+    end = traversal.bfs(e, 1).where("id % 8 = 5").first().id
+    return traversal.paths(e, 1, end).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+
+
+@query(f"""WITH {_PLACE} SELECT a.src AS start, c.dst AS "end", count(*) AS n_walks FROM place a JOIN place b ON b.src = a.dst JOIN (SELECT dst AS src, src AS dst FROM place) c ON c.src = b.dst WHERE a.src % 8 = 3 GROUP BY 1, 2""")
+def walks_len3(spark, d):
+    g = tables.edges(spark, d, "LOCATED_IN", "IN_REGION")
+    two = traversal.walks(g, tables.nodes(spark, d, "Supplier"), 2)
+    back = g.groupBy(F.col("dst").alias("at"), F.col("src").alias("to")).agg(F.count("*").alias("m"))
+    return two.join(back, F.col("end") == F.col("at")).groupBy("start", F.col("to").alias("end")).agg(F.sum(F.col("n_walks") * F.col("m")).alias("n_walks"))
+
+
+# --- analytics --------------------------------------------------------------------------------
+
+_PR = f"""WITH {_PURCHASED}, n AS (SELECT c_custkey * 8 + 1 AS id FROM customer UNION ALL SELECT p_partkey * 8 + 2 FROM part), k AS (SELECT count(*)::DOUBLE AS k FROM n),
+u AS (SELECT src, dst FROM purchased UNION ALL SELECT dst, src FROM purchased), o AS (SELECT src, count(*) AS deg FROM u GROUP BY 1), r0 AS (SELECT id, 1 / k AS rank FROM n, k)""" + "".join(
+    f""", r{i} AS (SELECT n.id, 0.15::DOUBLE / k + 0.85::DOUBLE * coalesce(s, 0) AS rank FROM n CROSS JOIN k LEFT JOIN (SELECT u.dst, sum(r.rank / o.deg) AS s FROM u JOIN r{i - 1} r ON r.id = u.src JOIN o ON o.src = u.src GROUP BY 1) x ON x.dst = n.id)""" for i in range(1, 6)
+)
+
+
+@query(f"{_PR} SELECT id, round(rank * k, 6) AS rank FROM r5, k")
+def pagerank(spark, d):
+    n = tables.nodes(spark, d, "Customer", "Part")
+    ranks, _, _ = analytics.pagerank(n, traversal.undirected(tables.edges(spark, d, "PURCHASED")), max_iter=5, tol=0.0)
+    return ranks.select("id", F.round(F.col("rank") * ranks.count(), 6).alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {_PLACE}, e AS (SELECT src, dst FROM place UNION ALL SELECT dst, src FROM place), r(id, component) USING KEY (id) AS (SELECT DISTINCT src, src FROM e UNION
+ SELECT e.dst, min(r.component) FROM r JOIN e ON e.src = r.id JOIN recurring.r z ON z.id = e.dst GROUP BY e.dst, z.component HAVING min(r.component) < z.component) SELECT id, component FROM r""")
+def components(spark, d):
+    return connected_components(tables.edges(spark, d, "LOCATED_IN", "IN_REGION"))
+
+
+_LP = f"""WITH {_SUPPLIES}, e AS (SELECT src AS u, dst AS v FROM sup UNION ALL SELECT dst, src FROM sup), l0 AS (SELECT DISTINCT u AS id, u AS community FROM e)""" + "".join(
+    f""", l{i} AS (SELECT id, community FROM (SELECT id, community, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, community) AS k FROM (SELECT e.u AS id, l.community FROM e JOIN l{i - 1} l ON l.id = e.v UNION ALL SELECT id, community FROM l{i - 1}) GROUP BY 1, 2) WHERE k = 1)""" for i in range(1, 4)
+)
+
+
+@query(f"{_LP} SELECT id, community FROM l3")
+def label_propagation(spark, d):
+    return analytics.label_propagation(Graph(tables.nodes(spark, d, "Part"), tables.edges(spark, d, "SUPPLIED_BY")).with_undirected(), 3)
+
+
+@query(f"""WITH {_PLACE}, e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM place), c AS (SELECT u AS id, u % 8 AS community FROM (SELECT u FROM e UNION SELECT v FROM e)),
+x AS (SELECT cu.community AS c, (cu.community = cv.community)::INT AS same FROM e JOIN c cu ON cu.id = u JOIN c cv ON cv.id = v UNION ALL SELECT cv.community, 0 FROM e JOIN c cv ON cv.id = v),
+p AS (SELECT c, count(*) AS deg, sum(same) AS i FROM x GROUP BY 1), m AS (SELECT sum(deg) / 2 AS m FROM p)
+SELECT round(sum(i / m - power(deg / (2 * m), 2)), 9) AS modularity FROM p, m""")
+def modularity(spark, d):
+    e = Graph(tables.nodes(spark, d, "Nation"), tables.edges(spark, d, "LOCATED_IN", "IN_REGION")).with_undirected()
+    c = e.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("community", F.col("id") % 8)
+    return analytics.modularity(e, c).select(F.round("modularity", 9).alias("modularity"))
+
+
+_TRI = "e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS u, greatest(a.user_id, b.user_id) AS v FROM events a JOIN events b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id)"
+
+
+@query(f"WITH {_TRI} SELECT count(*) AS triangles FROM e a JOIN e b ON b.u = a.v JOIN e c ON c.u = a.u AND c.v = b.v")
+def triangles(spark, d):
+    v = tables.table(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).distinct()
+    e = v.join(v.withColumnRenamed("user_id", "other"), ["event_type", "h"]).where("user_id < other").select(F.col("user_id").alias("u"), F.col("other").alias("v")).distinct()
+    return analytics.triangles(e)
+
+
+# --- schemas and mutations --------------------------------------------------------------------
+
+_PERSON = S.Registry({"Customer": S.Schema("Customer", (S.Property("name", "string", required=True), S.Property("balance", "float"), S.Property("nation", "integer"))), "Part": S.Schema("Part", (S.Property("name", "string", required=True), S.Property("size", "integer", required=True)))})
+
+
+@query("""SELECT c_custkey * 8 + 1 AS id, CASE WHEN c_custkey % 5 = 1 THEN 'MissingRequiredProperty:name' WHEN c_custkey % 5 = 2 THEN 'TypeMismatch:nation' WHEN c_custkey % 5 = 3 THEN 'UnknownProperty:foo' END AS error FROM customer
+UNION ALL SELECT s_suppkey * 8 + 3, 'UnknownSchema' FROM supplier""")
+def validate_nodes(spark, d):
+    k = F.col("c_custkey") % 5
+    bad = F.when(k == 1, F.to_json(F.struct(F.lit(1).alias("nation")))).when(k == 2, F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("x").alias("nation")))).when(k == 3, F.to_json(F.struct(F.col("c_name").alias("name"), F.lit(1).alias("foo"))))
+    c = tables.table(spark, d, "customer").select(tables.node_id("c_custkey", "Customer").alias("id"), F.lit("Customer").alias("label"), F.coalesce(bad, F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))).alias("properties"))
+    s = tables.table(spark, d, "supplier").select(tables.node_id("s_suppkey", "Supplier").alias("id"), F.lit("Dog").alias("label"), F.lit("{}").alias("properties"))
+    return S.validate(c.unionByName(s), _PERSON).select("id", "error")
+
+
+@query("SELECT c_custkey AS id, c_acctbal::VARCHAR IS NOT NULL AS has_balance, c_nationkey::DOUBLE AS nation, 'new' AS tier FROM customer")
+def migrate_schema(spark, d):
+    old = S.Schema("Customer", (S.Property("name", "string"), S.Property("balance", "float"), S.Property("nation", "integer")))
+    new = S.Schema("Customer", (S.Property("balance", "string", required=True), S.Property("nation", "float"), S.Property("tier", "string", default="new")))
+    t = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("long").alias("nation"))
+    return S.migrate(t, old, new).select("id", F.col("balance").isNotNull().alias("has_balance"), "nation", "tier")
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, CASE WHEN c_custkey = 5 THEN 'renamed' ELSE c_name END AS name FROM customer")
+def update_property(spark, d):
+    return mutate.update_property(tables.nodes(spark, d, "Customer"), 5 * 8 + 1, "name", "renamed").select("id", "name")
+
+
+@query("SELECT c_custkey * 8 + 1 AS id FROM customer WHERE c_acctbal >= 0")
+def soft_delete(spark, d):
+    g = tables.graph(spark, d, ("Customer",), ("PLACED",))
+    return g.delete_nodes(g.nodes.where("amount < 0")).live_nodes.select("id")
+
+
+@query("""WITH new AS (SELECT o_custkey * 8 + 1 AS src, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey * 8 + 1 WHEN o_orderkey % 11 = 0 THEN -1 ELSE (o_custkey + 1) * 8 + 1 END AS dst, o_orderkey FROM orders)
+SELECT CASE WHEN dst NOT IN (SELECT c_custkey * 8 + 1 FROM customer) OR src NOT IN (SELECT c_custkey * 8 + 1 FROM customer) THEN 'NodeNotFound' WHEN src = dst THEN 'SelfLoop' ELSE 'ok' END AS outcome, count(*) AS n FROM new GROUP BY 1""")
+def insert_edges(spark, d):
+    k, c = F.col("o_orderkey"), tables.node_id("o_custkey", "Customer")
+    new = tables.table(spark, d, "orders").select(c.alias("src"), F.when(k % 7 == 0, c).when(k % 11 == 0, F.lit(-1)).otherwise(c + 8).alias("dst"))
+    out = mutate.split_edges(tables.nodes(spark, d, "Customer"), new)
+    return out.groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH new AS (SELECT o_custkey * 2 AS id, o_orderkey AS seq FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM new)
+SELECT CASE WHEN id IS NULL OR id <= 0 THEN 'InvalidId' WHEN id IN (SELECT c_custkey * 8 + 1 FROM customer) OR k > 1 THEN 'DuplicateNode' ELSE 'ok' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+def insert_nodes(spark, d):
+    new = tables.table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id"), F.col("o_orderkey").alias("seq"))
+    out = mutate.split_nodes(tables.nodes(spark, d, "Customer"), new)
+    return out.groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS key, event_id AS lsn, event_type AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_id % 10 <> 0""")
+def log_replay(spark, d):
+    e = tables.table(spark, d, "events")
+    log = e.select(F.col("event_id").alias("lsn"), F.when(F.col("event_id") % 10 == 0, "delete").otherwise("upsert").alias("entry_type"), F.col("user_id").alias("key"), F.col("event_type").alias("payload"))
+    return mutate.replay(log).select("key", "lsn", "payload")
+
+
+# --- knowledge graph --------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    n, r = tables.table(spark, d, "nation"), tables.table(spark, d, "region")
+    a = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") + 1).cast("long").alias("line_no"), F.concat(F.lit(' "'), "n_name", F.lit('",IN_REGION,'), "r_name").alias("line"))
+    c = tables.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    wide = c.select((F.col("c_custkey") + 100).alias("line_no"), F.concat(F.lit("a sentence,"), "c_name", F.lit(" ,"), "n_name", F.lit(",LIVES_IN")).alias("line"))
+    extra = spark.createDataFrame([(0, "subject,predicate,object"), (60, "  "), (61, "two,fields"), (62, "a,,c"), (63, "Loop,SELF,Loop")], "line_no bigint, line string")
+    return a.unionByName(wide).unionByName(extra)
+
+
+_TRIPLES = """t AS (SELECT n_nationkey::BIGINT + 1 AS line_no, n_name AS subject, 'IN_REGION' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT c_custkey + 100, c_name, 'LIVES_IN', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 63, 'Loop', 'SELF', 'Loop')"""
+
+
+@query(f"WITH {_TRIPLES} SELECT line_no, subject, predicate, object, NULL::VARCHAR AS error FROM t UNION ALL SELECT 61, 'two', 'fields', NULL, 'TooFewFields' UNION ALL SELECT 62, 'a', '', 'c', 'EmptyField'")
+def kg_triples(spark, d):
+    return kg.parse_triples(_lines(spark, d))
+
+
+@query(f"WITH {_TRIPLES}, n AS (SELECT DISTINCT name FROM (SELECT subject AS name FROM t UNION ALL SELECT object FROM t)) SELECT row_number() OVER (ORDER BY name) - 1 AS entity_no, name FROM n")
+def kg_entities(spark, d):
+    nodes, _ = kg.triples_to_graph(kg.parse_triples(_lines(spark, d)))
+    return kg.number_entities(nodes).select("entity_no", "name")
+
+
+@query(f"WITH {_TRIPLES} SELECT predicate AS label, count(*) AS edges, count(DISTINCT subject) AS sources FROM t WHERE subject <> object GROUP BY 1")
+def kg_graph(spark, d):
+    _, edges = kg.triples_to_graph(kg.parse_triples(_lines(spark, d)))
+    return edges.groupBy("label").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
+
+
+@query(f"WITH {_TRIPLES} SELECT predicate AS relation, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, relation LIMIT 10")
+def relation_histogram(spark, d):
+    return kg.relation_histogram(kg.parse_triples(_lines(spark, d)).where("error IS NULL"), 10)
+
+
+@query("SELECT CASE WHEN regexp_matches(lower(p_name), 'drug|inhibitor|gemcitabine|therapy|treatment|agent') THEN 'drug' ELSE 'other' END AS entity_group, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Drug ' || p_name ELSE p_name END AS p_name FROM part) GROUP BY 1")
+def entity_groups(spark, d):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Drug "), "p_name")).otherwise(F.col("p_name"))
+    return tables.table(spark, d, "part").select(kg.group_of(name).alias("entity_group")).groupBy("entity_group").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'http://x/n/' || n_nationkey AS subject, 'http://x/name' AS predicate, n_name AS object FROM nation")
+def ntriples(spark, d):
+    n = tables.table(spark, d, "nation").select(F.concat(F.lit("<http://x/n/"), "n_nationkey", F.lit('> <http://x/name> "'), "n_name", F.lit('"@en .')).alias("line"))
+    return kg.parse_ntriples(n.unionByName(spark.createDataFrame([("# comment",), ("broken line",)], "line string")))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, 'customer' AS type, c_nationkey::BIGINT AS dst FROM customer")
+def wide_csv(spark, d):
+    lines = tables.table(spark, d, "customer").select(F.concat_ws(",", "c_custkey", "c_name", F.lit("customer"), "c_custkey", "c_nationkey", F.lit("IN")).alias("line"))
+    ents, rels = kg.parse_wide(lines)
+    return ents.join(rels, ents["id"] == rels["src"]).select("id", "name", "type", "dst")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM documents)
+SELECT doc_id, 'word-' || w AS entity, w AS alias, round(CASE w WHEN 'the' THEN 0.5 ELSE 1 END::DOUBLE, 6) AS confidence FROM t WHERE w IN ('the', 'und', 'que') UNION ALL SELECT doc_id, 'article', w, 0.5 FROM t WHERE w = 'the'""")
+def entity_linking(spark, d):
+    a = spark.createDataFrame([("word-the", "The"), ("article", "the"), ("word-und", "und"), ("word-que", "QUE")], "entity string, alias string")
+    return kg.link_entities(tables.table(spark, d, "documents"), a)
+
+
+@query("""SELECT doc_id, lower(m[1]) AS subject, 'joined' AS relation, lower(m[2]) AS object, 0.9::DOUBLE AS confidence FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '([a-z]+) and ([a-z]+)', 1), regexp_extract_all(text, '([a-z]+) and ([a-z]+)', 2))) AS m FROM documents)""")
+def relation_extraction(spark, d):
+    return kg.extract_relations(tables.table(spark, d, "documents"), [("([a-z]+) and ([a-z]+)", "joined", 0.9)])
+
+
+@query("""SELECT '{"nodes":[' || (SELECT string_agg('{"id":' || (r_regionkey::BIGINT * 8 + 5) || ',"label":"Region"}', ',' ORDER BY r_regionkey) FROM region) || '],"edges":[' ||
+(SELECT string_agg('{"source":"' || s || '","target":"' || t || '","label":"IN_REGION"}', ',' ORDER BY s, t) FROM (SELECT (n_nationkey::BIGINT * 8 + 4)::VARCHAR AS s, (n_regionkey::BIGINT * 8 + 5)::VARCHAR AS t FROM nation)) ||
+'],"metadata":{"node_count":' || (SELECT count(*) FROM region) || ',"edge_count":' || (SELECT count(*) FROM nation) || '}}' AS json""")
+def visualizer_json(spark, d):
+    return export.visualizer(tables.nodes(spark, d, "Region"), tables.edges(spark, d, "IN_REGION"))
+
+
+@query("SELECT o_custkey * 8 + 1 AS row, l_partkey * 8 + 2 AS col, count(*)::DOUBLE AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def adjacency_coo(spark, d):
+    o = tables.table(spark, d, "orders").join(tables.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return export.coo(o.select(tables.node_id("o_custkey", "Customer").alias("src"), tables.node_id("l_partkey", "Part").alias("dst")))
+
+
+# --- Cypher -----------------------------------------------------------------------------------
+
+
+def _cy(name: str, text: str, sql: str, nodes: tuple[str, ...], edges: tuple[str, ...]) -> None:
+    def run(spark, d):
+        return cypher.query(tables.graph(spark, d, nodes, edges), text)
+
+    run.__name__ = name
+    run.__doc__ = text
+    query(sql)(run)
+
+
+_GEO = (("Customer", "Supplier", "Nation", "Region"), ("LOCATED_IN", "IN_REGION"))
+_cy("cy_two_hop", "MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.amount > 5000 RETURN c.name AS customer, n.name AS nation, r.name AS region", "SELECT c_name AS customer, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000", *_GEO)
+_cy("cy_undirected", "MATCH (n:Nation {name: 'NATION_6'})-[r]-(x) RETURN x.name AS name, x.label AS label", "WITH f AS (SELECT * FROM nation WHERE n_name = 'NATION_6') SELECT r_name AS name, 'Region' AS label FROM f JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT c_name, 'Customer' FROM f JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT s_name, 'Supplier' FROM f JOIN supplier ON s_nationkey = n_nationkey", *_GEO)
+_cy("cy_alternation", "MATCH (a)-[r:LOCATED_IN|IN_REGION]->(b) RETURN type(r) AS kind, count(r) AS n", "SELECT 'LOCATED_IN' AS kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'IN_REGION', count(*) FROM nation", *_GEO)
+_cy("cy_recommend_anti", "MATCH (a:Supplier)-[:LOCATED_IN]->(n:Nation)<-[:LOCATED_IN]-(b:Supplier) MATCH (p:Part)-[:SUPPLIED_BY]->(b) WHERE NOT (p)-[:SUPPLIED_BY]->(a) RETURN a.name AS supplier, count(p) AS parts ORDER BY parts DESC, supplier LIMIT 20", f"WITH {_SUPPLIES} SELECT a.s_name AS supplier, count(*) AS parts FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey JOIN sup ON sup.dst = b.s_suppkey * 8 + 3 WHERE NOT EXISTS (SELECT 1 FROM sup x WHERE x.src = sup.src AND x.dst = a.s_suppkey * 8 + 3) GROUP BY a.s_suppkey, a.s_name ORDER BY parts DESC, supplier LIMIT 20", ("Supplier", "Nation", "Part"), ("LOCATED_IN", "SUPPLIED_BY"))
+_cy("cy_having_topk", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WITH c.name AS name, count(r) AS orders WHERE orders > 10 RETURN name, orders ORDER BY orders DESC, name LIMIT 5", "SELECT c_name AS name, count(*) AS orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name HAVING count(*) > 10 ORDER BY orders DESC, name LIMIT 5", ("Customer", "Order"), ("PLACED",))
+_cy("cy_varlen", "MATCH (s:Supplier)-[:LOCATED_IN|IN_REGION*1..2]->(x) RETURN s.name AS supplier, x.name AS place", "SELECT s_name AS supplier, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", *_GEO)
+_cy("cy_shortest", "MATCH p = shortestPath((a:Region {name: 'ASIA'})-[:LOCATED_IN|IN_REGION*]-(b:Supplier)) RETURN b.name AS supplier, length(p) AS hops", "SELECT s_name AS supplier, 2::BIGINT AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", *_GEO)
+_cy("cy_distinct", "MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation) RETURN DISTINCT n.name AS nation ORDER BY nation", "SELECT DISTINCT n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey", *_GEO)
+_cy("cy_theta", "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) WHERE a.name < b.name RETURN a.name AS a, b.name AS b, r.name AS region", "SELECT a.n_name AS a, b.n_name AS b, r_name AS region FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name JOIN region ON r_regionkey = a.n_regionkey", *_GEO)
+_cy("cy_edge_property", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE r.weight > 400000 AND c.amount < 0 RETURN c.name AS name, r.weight AS price", "SELECT c_name AS name, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000 AND c_acctbal < 0", ("Customer", "Order"), ("PLACED",))
+
+
+# --- graph neural layers ----------------------------------------------------------------------
+
+
+def _ring(spark, d):
+    f = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    e = f.select(F.col("id").alias("src"), "label").join(f.select(F.col("id").alias("dst"), "label"), "label").where("dst = src + 10 OR dst = src + 20").select("src", "dst")
+    return f.select("id", "vector"), e
+
+
+_RING = "f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), e AS (SELECT a.id AS src, b.id AS dst FROM f a JOIN f b ON a.label = b.label AND (b.id = a.id + 10 OR b.id = a.id + 20)), x AS (SELECT id, unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS y FROM f)"
+
+
+@query(f"WITH {_RING}, m AS (SELECT dst AS id, pos, avg(y) AS y FROM e JOIN x ON x.id = e.src GROUP BY 1, 2) SELECT x.id, round(sum(coalesce(m.y, x.y) * x.pos), 4) AS checksum FROM x LEFT JOIN m ON m.id = x.id AND m.pos = x.pos GROUP BY 1")
+def gnn_message_passing(spark, d):
+    return _checksum(gnn.message_passing(*_ring(spark, d)))
+
+
+def _checksum(df):
+    return df.select("id", F.posexplode("vector").alias("pos", "y")).groupBy("id").agg(F.round(F.sum(F.col("y") * (F.col("pos") + 1)), 4).alias("checksum"))
+
+
+@query(f"""WITH {_RING}, u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e UNION ALL SELECT id, id FROM f), g AS (SELECT src, count(*)::DOUBLE AS d FROM u GROUP BY 1)
+SELECT u.dst AS id, round(sum(x.y * x.pos / sqrt(a.d * b.d)), 4) AS checksum FROM u JOIN g a ON a.src = u.src JOIN g b ON b.src = u.dst JOIN x ON x.id = u.src GROUP BY 1""")
+def gnn_convolution(spark, d):
+    f, e = _ring(spark, d)
+    return _checksum(gnn.graph_convolution(f, e.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
+
+
+@query(f"""WITH {_RING}, s AS (SELECT e.src, e.dst, exp(list_dot_product(q.v, k.v) / sqrt(len(q.v))) AS w FROM e JOIN f q ON q.id = e.src JOIN f k ON k.id = e.dst), t AS (SELECT src, sum(w) AS t FROM s GROUP BY 1)
+SELECT s.src AS id, round(sum(w / t * y * pos), 4) AS checksum FROM s JOIN t ON t.src = s.src JOIN x ON x.id = s.dst GROUP BY 1""")
+def gnn_attention(spark, d):
+    return _checksum(gnn.attention(*_ring(spark, d)))
+
+
+# --- capacity, trends, streams ----------------------------------------------------------------
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n, power(2, ceil(log2(ceil(count(*) * 3.0))))::BIGINT AS pool FROM customer GROUP BY 1")
+def capacity_pools(spark, d):
+    return capacity.pool_sizes(tables.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n")))
+
+
+@query("SELECT event_type, count(*) AS n, round(regr_slope(value, event_id), 9) AS slope, round(regr_r2(value, event_id), 6) AS r2, round(stddev_pop(value) / avg(value), 6) AS cv FROM events GROUP BY 1")
+def growth_trend(spark, d):
+    t = capacity.trend(tables.table(spark, d, "events"), "event_id", "value", ["event_type"])
+    return t.select("event_type", "n", F.round("slope", 9).alias("slope"), F.round("r2", 6).alias("r2"), F.round("cv", 6).alias("cv"))
+
+
+@query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    w = ingest.windowed_counts(tables.table(spark, d, "events"), "ts", ["event_type"])
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+@query("SELECT user_id AS key, max(event_id) AS lsn FROM events GROUP BY 1")
+def stream_ingest(spark, d):
+    """The events as a stream of files through foreachBatch into a change log, replayed to the last state of every user."""
+    import uuid
+
+    schema = tables.table(spark, d, "events").schema
+    base = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    q = ingest.append_log(spark.readStream.schema(schema).parquet(_stream_folder(spark, d)), f"{base}/log", f"{base}/offsets", "upsert", "user_id", "event_id")
+    q.awaitTermination()
+    return mutate.replay(mutate.intact(ingest.read_log(spark, f"{base}/log"))).select("key", "lsn")
+
+
+def _stream_folder(spark, d):
+    """Where file streams can read events: the folder itself, or the folder above a single file, by pattern."""
+    import os
+
+    path = f"{d}/events.parquet"
+    return path if os.path.isdir(path) else f"{d}/events*.parquet"
+
+
+@query(f"WITH {_PURCHASED} SELECT community, size, rank FROM (SELECT (src % 5)::BIGINT AS community, count(DISTINCT src) AS size, row_number() OVER (ORDER BY count(DISTINCT src) DESC, src % 5) ::INT AS rank FROM purchased GROUP BY 1, src % 5)")
+def community_sizes(spark, d):
+    labels = tables.edges(spark, d, "PURCHASED").select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id") % 5)
+    return analytics.communities_by_size(labels)
+
+
+@query("SELECT o_custkey AS id, coalesce(lead_type, 'end') AS next, count(*) AS n FROM (SELECT o_custkey, lead(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS lead_type FROM orders) GROUP BY 1, 2")
+def next_transitions(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    t = tables.table(spark, d, "orders").withColumn("next", F.coalesce(F.lead("o_orderpriority").over(w), F.lit("end")))
+    return t.groupBy(F.col("o_custkey").alias("id"), "next").agg(F.count("*").alias("n"))
