@@ -192,10 +192,10 @@ class SpanModel:
             up = (v == 1) @ np.log(self.right / self.wrong) + (v == -1) @ np.log((1 - self.right) / (1 - self.wrong))
             q = 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior))[kind] + up)))
         self.posterior = q
-        x = np.array([self.features(k, p) for k, p, _ in patterns]).reshape(len(patterns), -1)
+        x = np.array([self.features(k, p) for k, p, _ in patterns]).reshape(len(patterns), len(self.features(KINDS[0], "0" * len(LABELERS) + "s0")))
         self.w = np.zeros(x.shape[1])
         for _ in range(30):  # Newton steps on the soft labels, with a small ridge
-            p = 1 / (1 + np.exp(-x @ self.w)) if len(x) else q
+            p = 1 / (1 + np.exp(-x @ self.w))
             h = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.eye(len(self.w))
             self.w = self.w + np.linalg.solve(h, x.T @ (n * (q - p)) - self.w)
 
