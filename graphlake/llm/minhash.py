@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from graphlake.llm import lsh
 from graphlake.llm import textops as T
@@ -51,15 +52,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row for each group of near-duplicates, the one of the least doc_id; its columns stay as they are.
 
-    Repeated rows of a doc_id that a group holds are also reduced to one. Documents in no group (also those
-    without text or id) stay.
+    Of repeated rows (one doc_id and text) one stays, the least by the other columns. Rows of one doc_id whose texts differ are both
+    kept if their doc_id is. Documents in no group (also those without text or id) stay.
     """
     dup = cut(near_duplicates(docs, **params))
     gone = dup.where("NOT keep").select("doc_id")
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    again = kept.join(twice, "doc_id", "left_semi").select(*names).toDF(*[f"c{i}" for i in range(len(names))])
+    key = [f"c{names.index(x)}" for x in ("doc_id", "text")]
+    rest = [f"c{i}" for i, f in enumerate(docs.schema.fields) if f"c{i}" not in key and isinstance(f.dataType, ST.AtomicType)]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))
+    once = again.withColumn("_rank", first).where("_rank = 1").drop("_rank").toDF(*names)
+    return kept.join(twice, "doc_id", "left_anti").select(*names).unionByName(once)
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

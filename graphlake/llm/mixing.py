@@ -101,12 +101,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, alpha: float = ALPHA, w
 
     So documents stay whole and each comes at least once (with ``weights`` given: if its source has one). Documents without tokens stay once.
     """
-    d = docs.withColumn("n_tokens", n_tokens(F.col("text")))
-    p = cut(placed(d, seed).withColumn("_block", F.floor(F.col("_start") / block)))
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    c = lambda name: F.col(f"c{names.index(name)}")
+    d = flat.withColumns({"doc_id": c("doc_id"), "source": c("source"), "n_tokens": n_tokens(c("text"))})
+    p = cut(placed(d, seed).withColumn("_block", F.floor(F.col("_start") / block)).drop("doc_id", "source", "_start"))
     schedule = slots(cut(source_shares(p, block, alpha, weights)))
     copies = schedule.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.count("*").cast("int").alias("_copies"))
     out = p.where("n_tokens > 0").join(copies, ["_source", "_block"]).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns).unionByName(p.where("n_tokens = 0").select(*docs.columns))
+    return out.select(*flat.columns).unionByName(p.where("n_tokens = 0").select(*flat.columns)).toDF(*names)
 
 
 def op2_mixing(spark, sf_dir):
