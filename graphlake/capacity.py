@@ -16,7 +16,7 @@ WORKLOADS = {"social": (10.0, 0.1, 5.0), "knowledge": (4.0, 0.5, 8.0), "recommen
 def pool_size(expected: int, headroom: float = 2.0, safety: float = 1.5) -> int:
     """The power of two that holds ``expected`` with headroom and safety."""
     need = math.ceil(expected * headroom * safety)
-    return 1 << max(0, (need - 1).bit_length())
+    return 1 << (need - 1).bit_length() if need > 1 else 1
 
 
 def plan(expected_nodes: int, workload: str = "general", dim: int = 128) -> dict:
