@@ -60,6 +60,23 @@ def bfs(edges: DataFrame, sources: DataFrame | int, nodes: DataFrame | None = No
     return out
 
 
+def bfs_from_each(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(start, id, distance)`` for every start of ``starts(id)`` at once: the frontier holds pairs of a start and a vertex."""
+    e = cut(edges.select("src", "dst").distinct())
+    level = seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")).distinct())
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = level.join(e, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        level = cut(found.join(seen, ["start", "id"], "left_anti").withColumn("distance", F.lit(depth)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+        if depth % 8 == 0:
+            seen = cut(seen)
+    return seen
+
+
 def with_unreachable(distances: DataFrame, nodes: DataFrame) -> DataFrame:
     """All nodes; those without a distance get infinity and a null predecessor."""
     out = nodes.select("id").join(distances.withColumn("distance", F.col("distance").cast("double")), "id", "left")

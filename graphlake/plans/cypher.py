@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphlake.errors import ParseError
 from graphlake.graph import Graph
-from graphlake.operators.traversal import bfs, undirected
+from graphlake.operators.traversal import bfs_from_each, undirected
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?(?!\w))|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<op>\.\.|<>|<=|>=|[-()\[\]{}:,.|*=<>+/]))""")
 _KEYWORDS = {"match", "where", "with", "return", "create", "order", "limit", "and", "or", "not", "as", "distinct", "by", "asc", "desc", "true", "false", "null"}
@@ -413,7 +413,7 @@ class Compiler:
         return out
 
     def shortest(self, rows: DataFrame | None, p: Pattern) -> DataFrame:
-        """All shortest distances from each matching start: its length is bound to the path's name."""
+        """Least distances from all matching starts at once; the length is bound to the path's name."""
         a, b, r = p.nodes[0], p.nodes[-1], p.rels[0]
         rows = self._bind(self._bind(rows, a), b)
         e = self.edges.where(F.col("label").isin(*r.types)) if r.types else self.edges
@@ -423,13 +423,11 @@ class Compiler:
         elif r.direction == "both":
             e = undirected(e)
         name = p.path or f"_p{len(self.kinds)}"
-        out = None
-        for start in [x.id for x in rows.select(F.col(f"`{a.var}`.id").alias("id")).distinct().collect()]:
-            d = bfs(e, start, max_depth=r.high if r.high != MAX_HOPS else None).select(F.col("id").alias("_end"), F.col("distance").cast("long").alias(name))
-            one = rows.where(F.col(f"`{a.var}`.id") == start).join(d, F.col(f"`{b.var}`.id") == F.col("_end")).drop("_end").where(F.col(name) >= (r.low if r.low is not None else 1))
-            out = one if out is None else out.unionByName(one)
+        starts = rows.select(F.col(f"`{a.var}`.id").alias("id")).distinct()
+        d = bfs_from_each(e, starts, r.high if r.high != MAX_HOPS else None).select(F.col("start").alias("_start"), F.col("id").alias("_end"), F.col("distance").cast("long").alias(name))
         self.kinds[name] = "length"
-        return out if out is not None else rows.withColumn(name, F.lit(None).cast("long")).limit(0)
+        out = rows.join(d, (F.col(f"`{a.var}`.id") == F.col("_start")) & (F.col(f"`{b.var}`.id") == F.col("_end"))).drop("_start", "_end")
+        return out.where(F.col(name) >= (r.low if r.low is not None else 1))
 
     def where(self, rows: DataFrame, e) -> DataFrame:
         if e[0] == "and":

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.graph import EDGE_CAPACITY, NODE_CAPACITY
+from graphlake.operators.prefix import running_total
 
 HEADER_WORDS = ("subject", "entity1", "head", "source", "sentence")
 GROUPS = (
@@ -101,8 +102,9 @@ def relation_histogram(triples: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def number_entities(names: DataFrame) -> DataFrame:
-    """``(entity_no, name)``: distinct names numbered from 0 in order."""
-    return names.select("name").distinct().withColumn("entity_no", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
+    """``(entity_no, name)``: distinct names numbered from 0 in order. Ranks are local to names of one beginning; only their counts are summed up in one place."""
+    n = names.select("name").distinct().withColumn("cell", F.substring("name", 1, 4)).withColumn("one", F.lit(1))
+    return running_total(n, [], "cell", [F.col("name")], "one", "entity_no").select("entity_no", "name")
 
 
 def link_entities(texts: DataFrame, aliases: DataFrame) -> DataFrame:
