@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_BYTES, EDGE_BYTES, PROPERTY_BYTES = 78, 87, 64
@@ -46,3 +46,9 @@ def trend(log: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     pattern = F.when(F.col("cv") < 0.1, "stable").when(F.col("r2") >= 0.8, "linear").when(F.col("log_r2") >= 0.8, "exponential").otherwise("unpredictable")
     growth = F.create_map(*[F.lit(v) for kv in GROWTH.items() for v in kv])
     return fit.withColumn("pattern", pattern).withColumn("growth", growth[F.col("pattern")])
+
+
+def autocorrelation(log: DataFrame, order: str, y: str, group: list[str], lag: int) -> DataFrame:
+    """The correlation of ``y`` with itself ``lag`` steps before, by group: near 1 for cycles of that length."""
+    w = Window.partitionBy(*group).orderBy(order)
+    return log.withColumn("_before", F.lag(y, lag).over(w)).groupBy(*group).agg(F.corr(y, "_before").alias("autocorrelation"))

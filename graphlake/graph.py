@@ -118,3 +118,20 @@ class Graph:
         live: Column = F.col("active") if "active" in self.nodes.columns else F.lit(True)
         nodes = self.nodes.join(gone, "id", "left").withColumn("active", live & F.col("_gone").isNull()).drop("_gone")
         return replace(self, nodes=nodes)
+
+    def embedding(self, node_id: int) -> list[float] | None:
+        """The vector of a node, or None."""
+        if self.embeddings is None:
+            return None
+        row = self.embeddings.where(F.col("node_id") == node_id).select("vector").first()
+        return list(row.vector) if row else None
+
+    def apply(self, what: str, fn, schema: str) -> DataFrame:
+        """``fn`` over Arrow batches of the live ``nodes`` or ``edges`` (an iterator in, an iterator out): the visitor hook."""
+        frame = {"nodes": self.live_nodes, "edges": self.live_edges}[what]
+        return frame.mapInPandas(fn, schema)
+
+    def labels(self) -> DataFrame:
+        """``(kind, label, n)``: the registries of node labels and relationship types."""
+        n = self.live_nodes.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "label", "n")
+        return n.unionByName(self.live_edges.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "label", "n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlake import capacity
 from graphlake import schema as S
+from graphlake.functions import text
 from graphlake.functions import vectors as V
 from graphlake.graph import Graph
 from graphlake.operators import analytics, columnar, gnn, mutate, traversal, vector
@@ -575,3 +576,59 @@ def next_transitions(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     t = tables.table(spark, d, "orders").withColumn("next", F.coalesce(F.lead("o_orderpriority").over(w), F.lit("end")))
     return t.groupBy(F.col("o_custkey").alias("id"), "next").agg(F.count("*").alias("n"))
+
+
+# --- registries, checksums, summaries ---------------------------------------------------------
+
+
+@query("SELECT 'node' AS kind, 'Nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'node', 'Region', count(*) FROM region UNION ALL SELECT 'edge', 'IN_REGION', count(*) FROM nation")
+def label_registry(spark, d):
+    return tables.graph(spark, d, ("Nation", "Region"), ("IN_REGION",)).labels()
+
+
+@query("SELECT event_id, json_valid(props) AS valid, (props::JSON ->> 'k') IS NOT NULL AS has_k, len(json_keys(props::JSON))::INT AS size FROM events")
+def json_functions(spark, d):
+    return tables.table(spark, d, "events").select("event_id", text.json_valid("props").alias("valid"), text.json_has("props", "k").alias("has_k"), text.json_size("props").alias("size"))
+
+
+@query("SELECT c_mktsegment AS label, list_reduce(list_prepend(0, list_transform(regexp_extract_all(c_mktsegment, '.'), lambda c: ascii(c))), lambda h, b: (xor(h, b) * 31) % 256)::INT AS id FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def label_hash(spark, d):
+    return tables.table(spark, d, "customer").select(F.col("c_mktsegment").alias("label")).distinct().withColumn("id", text.label_hash8("label"))
+
+
+@query("""WITH t AS (SELECT c_name AS head, 'LIVES_IN' AS relation, n_name AS tail FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'IN_REGION', r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+e AS (SELECT DISTINCT unnest([head, tail]) AS name FROM t), k AS (SELECT relation, count(*) AS n FROM t GROUP BY 1)
+SELECT (SELECT count(*) FROM t) AS triples, (SELECT count(*) FROM e) AS entities, (SELECT count(*) FROM k) AS relation_types, '{"other":' || (SELECT count(*) FROM e) || '}' AS groups,
+'[' || (SELECT string_agg('{"relation":"' || relation || '","n":' || n || '}', ',' ORDER BY n DESC, relation) FROM k) || ']' AS top_relations""")
+def dataset_summary(spark, d):
+    n = tables.table(spark, d, "nation")
+    a = tables.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("head"), F.lit("LIVES_IN").alias("relation"), F.col("n_name").alias("tail"))
+    b = n.join(tables.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("head"), F.lit("IN_REGION").alias("relation"), F.col("r_name").alias("tail"))
+    return kg.dataset_summary(a.unionByName(b))
+
+
+@query("SELECT event_type, round(corr(value, before), 6) AS autocorrelation FROM (SELECT event_type, value, lag(value, 5) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) GROUP BY 1")
+def autocorrelation(spark, d):
+    a = capacity.autocorrelation(tables.table(spark, d, "events"), "event_id", "value", ["event_type"], 5)
+    return a.select("event_type", F.round("autocorrelation", 6).alias("autocorrelation"))
+
+
+@query("SELECT c_custkey * 8 + 1 AS id, c_acctbal * 2 AS twice FROM customer")
+def apply_to_each(spark, d):
+    def double(batches):
+        for b in batches:
+            yield b[["id"]].assign(twice=b["amount"] * 2)
+
+    return tables.graph(spark, d, ("Customer",), ("IN_REGION",)).apply("nodes", double, "id bigint, twice double")
+
+
+@query("SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AS live FROM embeddings")
+def embedding_mask(spark, d):
+    return tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (V.dot("embedding", "embedding") > 0).alias("live"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) AS id, n_name AS name FROM nation")
+def create_typed_nodes(spark, d):
+    r = S.Registry({"Nation": S.Schema("Nation", (S.Property("name", "string", required=True),))})
+    rows = tables.table(spark, d, "nation").select(F.lit("Nation").alias("label"), F.col("n_name").alias("name"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("properties"))
+    return S.create(rows, r, order="name").select("id", "name")

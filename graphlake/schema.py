@@ -105,3 +105,23 @@ def migrate(df: DataFrame, old: Schema, new: Schema) -> DataFrame:
         if p.required:
             out = out.where(F.col(p.name).isNotNull())
     return out
+
+
+def create(rows: DataFrame, registry: Registry, after: int = 0, order: str = "properties") -> DataFrame:
+    """Validated typed rows with ids that go on from ``after``, in the order of a column; the number of rows of each partition decides where its ids begin."""
+    good = require_valid(rows, registry).withColumn("_cell", F.substring(F.col(order).cast("string"), 1, 6)).withColumn("_one", F.lit(1))
+    from graphlake.operators.prefix import running_total
+
+    return running_total(good, [], "_cell", [F.col(order)], "_one", "_at").withColumn("id", F.col("_at") + 1 + after).drop("_at", "_cell", "_one")
+
+
+def check_dimension(dim: int, most: int = 4096) -> int:
+    if not 0 < dim <= most:
+        raise ValueError(f"a dimension lies between 1 and {most}")
+    return dim
+
+
+def check_rate(rate: float) -> float:
+    if not 0.0 <= rate <= 1.0:
+        raise ValueError("a rate lies between 0 and 1")
+    return rate

@@ -132,3 +132,23 @@ def import_csv(spark: SparkSession, path: str) -> dict:
     nodes, edges = triples_to_graph(t)
     counts = t.agg(F.count("*").alias("t")).crossJoin(nodes.agg(F.count("*").alias("n"))).crossJoin(edges.agg(F.count("*").alias("e"))).first()
     return {"status": "success", "message": "CSV data imported", "triples_parsed": counts.t, "database_nodes": counts.n, "database_edges": counts.e, "utilization": (counts.n + counts.e) / (NODE_CAPACITY + EDGE_CAPACITY)}
+
+
+def read_edge_csv(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header that names ``source``, ``target`` and ``label`` columns (by default the first three): entities once each, and edges."""
+    raw = spark.read.option("header", True).csv(path)
+    pick = [n if n in raw.columns else raw.columns[i] for i, n in enumerate(("source", "target", "label"))]
+    rows = raw.select(*[F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(pick, ("subject", "object", "predicate"), strict=True)])
+    rows = rows.where("subject <> '' AND object <> ''")
+    return triples_to_graph(rows.limit(limit) if limit else rows)
+
+
+def dataset_summary(rows: DataFrame, top: int = 10) -> DataFrame:
+    """Of ``(head, relation, tail)`` rows: one row with the numbers of triples, entities and relation types, and JSON of group sizes and of the ``top`` relations."""
+    good = rows.where("head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL")
+    names = good.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
+    groups = names.groupBy(group_of("name").alias("g")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("entities"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "n"))))).alias("groups"))
+    kinds = good.groupBy("relation").agg(F.count("*").alias("n"))
+    best = kinds.orderBy(F.desc("n"), "relation").limit(top).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "relation", "n"))), lambda x: F.struct(x["relation"].alias("relation"), x["n"].alias("n")))).alias("top_relations"))
+    counts = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triples"), F.count("*").alias("relation_types"))
+    return counts.crossJoin(groups).crossJoin(best).select("triples", F.coalesce("entities", F.lit(0)).alias("entities"), "relation_types", "groups", "top_relations")

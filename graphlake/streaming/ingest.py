@@ -38,3 +38,9 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str =
 def alive(heartbeats: DataFrame, now: F.Column, seconds: int = 5) -> DataFrame:
     """Processes ``(id, last_heartbeat)`` that have been heard of within ``seconds``."""
     return heartbeats.groupBy("id").agg(F.max("last_heartbeat").alias("last_heartbeat")).where(F.unix_timestamp(now) - F.unix_timestamp("last_heartbeat") < seconds)
+
+
+def batch_stats(spark: SparkSession, target: str) -> DataFrame:
+    """One row: batches, rows and mean rows a batch of a change log."""
+    per = spark.read.parquet(target).groupBy("batch").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_rows"))

@@ -343,3 +343,32 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
 def test_heartbeats(spark):
     hb = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:08"), (2, "2024-01-01 00:00:01")], "id bigint, t string").select("id", F.to_timestamp("t").alias("last_heartbeat"))
     assert ids(ingest.alive(hb, F.to_timestamp(F.lit("2024-01-01 00:00:10")))) == [1]
+
+
+def test_text_and_json_functions(spark):
+    from graphlake.functions import text as X
+
+    df = spark.createDataFrame([('{"a":1,"b":2,"c":3}',), ("[1,2,3,4,5]",), ('{"name":"John"',), (None,)], "j string")
+    got = df.select(X.json_valid("j").alias("v"), X.json_has("j", "a").alias("h"), X.json_size("j").alias("n"), X.json_get("j", "$.b", "bigint").alias("b")).collect()
+    assert [tuple(r) for r in got][:2] == [(True, True, 3, 2), (True, False, 5, None)] and [r.v for r in got][2:] == [False, False]
+    h = 0
+    for c in b"KNOWS":
+        h = (h ^ c) * 31 % 256
+    assert spark.range(1).select(X.label_hash8(F.lit("KNOWS")).alias("h")).first().h == h
+    assert spark.range(1).select(X.trim_field(F.lit('\t "x" ')).alias("x")).first().x == "x"
+    for bad in ('{"name":"John"', '["a","b"', '{"name":@}', '{"name""John"}'):
+        with pytest.raises(errors.ParseError):
+            X.parse_json(bad)
+    assert X.parse_json('["hello",42,true,null]') == ["hello", 42, True, None]
+
+
+def test_edge_csv_and_embeddings(spark, tmp_path, g):
+    (tmp_path / "e.csv").write_text("label,source,target\nKNOWS,a,b\nKNOWS,b,c\nX,,c\n")
+    n, e = kg.read_edge_csv(spark, str(tmp_path / "e.csv"))
+    assert sorted(r.name for r in n.collect()) == ["a", "b", "c"] and e.count() == 2 and e.first().label == "KNOWS"
+    h = Graph(g.nodes, g.edges, spark.createDataFrame([(1, [1.0, 2.0])], "node_id bigint, vector array<double>"))
+    assert h.embedding(1) == [1.0, 2.0] and h.embedding(2) is None and g.embedding(1) is None
+    with pytest.raises(ValueError):
+        S.check_dimension(0)
+    with pytest.raises(ValueError):
+        S.check_rate(1.5)
