@@ -12,7 +12,7 @@ from graphlake.llm import lsh
 from graphlake.llm import textops as T
 from graphlake.session import cut
 
-SHINGLE, PERMUTATIONS, ROWS, THRESHOLD = 3, 64, 4, 0.5
+SHINGLE, PERMUTATIONS, ROWS, THRESHOLD = 3, 64, 4, 0.45
 _SIGS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("sig", pa.binary())])
 
 
