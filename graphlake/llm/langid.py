@@ -192,8 +192,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     characters at a hashed place. Languages weigh equally. The class ``und`` (no language) is learnt from random bytes and from the same stretches with their bytes shuffled.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(11))
+    n = docs.where("lang IS NOT NULL").count()
+    share = min(1.0, 2 * sample_docs / max(1, n))
+    low = min(2**63 - 1, -(2**63) + int(share * 2**64))  # hashes up to here hold twice the sample, so that no task sends more to the driver than that
     rows = (
-        docs.where("lang IS NOT NULL AND length(text) > 0")
+        docs.where(F.col("lang").isNotNull() & (h <= F.lit(low)) & (F.length("text") > 0))
         .select("lang", h.alias("h"), F.substring("text", (F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - sample_chars)) + 1).cast("int"), F.lit(sample_chars)).alias("text"))
         .orderBy("h", "lang", "text")
         .limit(sample_docs)
