@@ -316,12 +316,12 @@ def modularity(spark, d):
     return analytics.modularity(e, c).select(F.round("modularity", 9).alias("modularity"))
 
 
-_TRI = "e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS u, greatest(a.user_id, b.user_id) AS v FROM events a JOIN events b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id)"
+_TRI = "e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS u, greatest(a.user_id, b.user_id) AS v FROM events a JOIN events b ON date_trunc('minute', a.ts) = date_trunc('minute', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id)"
 
 
 @query(f"WITH {_TRI} SELECT count(*) AS triangles FROM e a JOIN e b ON b.u = a.v JOIN e c ON c.u = a.u AND c.v = b.v")
 def triangles(spark, d):
-    v = tables.table(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).distinct()
+    v = tables.table(spark, d, "events").select("user_id", "event_type", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("h")).distinct()
     e = v.join(v.withColumnRenamed("user_id", "other"), ["event_type", "h"]).where("user_id < other").select(F.col("user_id").alias("u"), F.col("other").alias("v")).distinct()
     return analytics.triangles(e)
 
