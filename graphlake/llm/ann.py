@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphlake.session import cut
 
 K, DEGREE, BEAM, SEARCH_BEAM, ALPHA = 10, 32, 48, 48, 1.2
-SHARD_ROWS, SHARD_MOST, QUERY_ROWS, BLOCK, WIDE = 8192, 131_072, 8192, 512, 4
+SHARD_ROWS, QUERY_ROWS, BLOCK, WIDE = 8192, 8192, 512, 4
 
 
 class Graph:
@@ -199,14 +199,18 @@ def _search(dim: int, k: int, beam: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, degree: int = DEGREE, beam: int = BEAM, search_beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS, shard_most: int = SHARD_MOST) -> DataFrame:
+def shard_count(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards of ``shard_rows`` vectors on average at most: the size up to which recall is measured."""
+    return -(-n // shard_rows)
+
+
+def neighbours(vectors: DataFrame, k: int = K, degree: int = DEGREE, beam: int = BEAM, search_beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The ``k`` nearest other vectors of every row of ``vectors(vec_id, embedding)``: ``(vec_id, rank, neighbour_id, distance)``, Euclidean.
 
-    Vectors are spread by hash over shards of ``shard_rows`` or more, so many that all cores build, and of ``shard_most`` at most, about 100 MB;
-    each shard's graph (Vamana, Subramanya et al., 2019) is built in one task. Every vector is then a query of every
+    Vectors are spread by hash over shards of ``shard_rows`` on average at most, whatever the table's size: degree and beams are fixed, and the
+    recall they give falls in larger graphs. Each shard's graph (Vamana, Subramanya et al., 2019) is built in one task. Every vector is then a query of every
     shard: tasks are pairs of a shard and a part of the queries, a beam search of width ``search_beam`` finds a shard's best, and the best of
-    all shards are merged by distance, ties by id. Work grows with vectors times shards, and a search only with the logarithm of a shard's
-    size: hence few large shards.
+    all shards are merged by distance, ties by id. Work grows with vectors times shards.
 
     Null ids, null vectors, vectors with null or NaN elements and those of another length than the most frequent one (ties: the longer) are left out.
     Rows of one vec_id count as one (the least vector by elements); equal vectors under different ids are neighbours at distance 0.
@@ -220,7 +224,7 @@ def neighbours(vectors: DataFrame, k: int = K, degree: int = DEGREE, beam: int =
     if not sizes:
         return spark.createDataFrame([], schema)
     n, dim = sizes[0]
-    shards = max(-(-n // shard_most), min(-(-n // shard_rows), spark.sparkContext.defaultParallelism))
+    shards = shard_count(n, shard_rows)
     parts = -(-n // QUERY_ROWS)
     v = v.where(F.size("embedding") == dim).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     graphs = cut(v.repartitionById(shards, v["shard"]).select("shard", "vec_id", "embedding").mapInArrow(_build(dim, degree, beam), _GRAPH_SQL))

@@ -295,6 +295,19 @@ def test_neighbours_recall(spark, sf):
     assert one.distance.is_monotonic_increasing and abs(one.distance.iloc[0] - math.sqrt(d[0].min())) < 1e-5
 
 
+def test_shards_stay_at_the_size_whose_recall_is_measured(spark):
+    assert all(n / ann.shard_count(n) <= ann.SHARD_ROWS == 8192 for n in (1, 8192, 8193, 80_000, 10**6, 10**8))
+    x = np.random.default_rng(9).normal(size=(8192, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = ann.build(x)
+    at = np.arange(0, 8192, 16)
+    ids, _, _ = g.search(x[at], ann.SEARCH_BEAM)
+    d = 2 - 2 * x[at] @ x.T
+    d[np.arange(len(at)), at] = np.inf
+    want = np.argsort(d, axis=1)[:, :10]
+    assert np.mean([len(set(w) & set(i[i != a][:10])) / 10 for w, i, a in zip(want, ids, at, strict=True)]) >= 0.94
+
+
 def test_prune_keeps_diverse_neighbours():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]], np.float32)
     out = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, 1, -1]]), 4, 1.0)
