@@ -11,7 +11,7 @@ from graphlake.llm import lsh
 from graphlake.llm import textops as T
 from graphlake.session import cut
 
-PERMUTATIONS, ROWS, THRESHOLD, LONG, ENOUGH = 252, 9, 0.75, 4, 16
+PERMUTATIONS, ROWS, THRESHOLD, LONG, ENOUGH = 296, 6, 0.6, 4, 16
 _SIGS = pa.schema([("doc_id", pa.int64()), ("n_phrases", pa.int64()), ("sid", pa.int64()), ("sig", pa.binary())])
 
 
@@ -84,8 +84,9 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int =
     (:func:`compared`) is summed up by the least hash under each of ``permutations`` functions (as in LZJD, Raff & Nicholas
     2017). ``fingerprint`` is a 64-bit id of that signature. Documents whose signatures share a band of ``rows`` values
     and agree in at least ``threshold`` of all values are linked; ``group_id`` is the least doc_id of the connected
-    component. Bands are long, since unrelated texts of one language already share some phrases: shorter ones would
-    bring together a fixed share of all pairs, whose number grows with the square of the corpus.
+    component. The threshold lies below the agreement of documents that share half of their three-word shingles, and
+    pairs at it share a band with a chance of 0.9. Unrelated texts of one language share some phrases, too: buckets
+    bring together a small fixed share of all pairs, whose number grows with the square of the corpus.
 
     A null, empty or blank text has no phrase and no row; repeated rows give a row each and one group; null doc_ids
     have no row. Other columns are ignored. An empty table gives no rows.

@@ -246,6 +246,24 @@ def test_fingerprint_groups_against_all_pairs(docs, rows):
     assert len(pairs) > 5 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
 
 
+def test_fingerprint_links_near_copies_by_shingles(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")
+    sets = _jaccard_sets({r.doc_id: r for r in d.collect()})
+    holders, shared = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for ids in holders.values():
+        if len(ids) < 60:
+            shared.update(itertools.combinations(sorted(ids), 2))
+    alike = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}
+    near = [p for p, j in alike.items() if 0.5 <= j < 0.75]
+    got = {r.doc_id: r.group_id for r in lzprint.fingerprints(d).collect()}
+    assert len(near) > 30 and np.mean([got.get(a, a) == got.get(b, b) for a, b in near]) >= 0.9
+    loose = _components(sets, [p for p, j in alike.items() if j >= 0.3])
+    assert np.mean([loose[i] == loose[g] for i, g in got.items()]) > 0.99  # unrelated texts stay apart
+
+
 def test_link_is_single_linkage():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 9, (6, 40)).astype(np.uint16)
