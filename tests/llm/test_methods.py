@@ -288,6 +288,21 @@ def test_toxicity_held_out(spark):
     assert len(found - toxic) / (len(truth) - len(toxic)) < 0.02
 
 
+def test_toxic_passage_counts_in_a_long_text(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    detector = toxicity.train(d.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 <> 0"))
+    rest = d.where("doc_id % 4 = 0 AND length(text) > 500").join(labels, "doc_id").select("toxic", "text").collect()
+    score = {r.text: detector.score(r.text.encode()) for r in rest}
+    toxic = [r.text for r in rest if r.toxic]
+    clean = " ".join([min((r.text for r in rest if not r.toxic), key=lambda t: score[t][3])] * 40)
+    alone = np.array([score[t][0] > detector.threshold for t in toxic])
+    inside = np.array([detector.score(f"{clean} {t} {clean}".encode())[0] > detector.threshold for t in toxic])
+    assert alone.sum() > 20 and detector.score(clean.encode())[0] <= detector.threshold
+    assert inside.sum() >= 0.9 * alone.sum()  # single ones fall on either side of the threshold as the windows shift
+    w = np.random.default_rng(2).normal(-0.3, 1, 40)
+    assert math.isclose(toxicity.best_run(w), max(w[i:j].sum() for i in range(40) for j in range(i + 1, 41)))
+
+
 def test_windows_cover_the_text():
     t = toxicity.normal("One two\n three " .encode() * 40 + b"x" * 500)
     w = toxicity.windows(t, 60)
