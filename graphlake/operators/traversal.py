@@ -126,8 +126,8 @@ def shortest_path(tree: DataFrame, target: int) -> list[int] | None:
     return path[::-1]
 
 
-def paths(edges: DataFrame, source: int, target: int, max_depth: int = 10) -> DataFrame:
-    """``(path, length)``: the shortest path by hops with least predecessors, as an array; no row if there is none within ``max_depth``."""
+def paths(edges: DataFrame, source: int, target: int, max_depth: int | None = None) -> DataFrame:
+    """``(path, length)``: the shortest path by hops with least predecessors, as an array; no row if there is none, or none within ``max_depth``."""
     tree = bfs(edges, source, max_depth=max_depth)
     path = shortest_path(tree, target)
     return edges.sparkSession.createDataFrame([] if path is None else [(path, len(path) - 1)], "path array<bigint>, length int")

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from graphlake.errors import ParseError
 from graphlake.graph import Graph
 from graphlake.operators.traversal import bfs_from_each, undirected
+from graphlake.session import cut
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?(?!\w))|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<op>\.\.|<>|<=|>=|[-()\[\]{}:,.|*=<>+/]))""")
 _KEYWORDS = {"match", "where", "with", "return", "create", "order", "limit", "and", "or", "not", "as", "distinct", "by", "asc", "desc", "true", "false", "null"}
-MAX_HOPS = 15
 
 
 @dataclass(frozen=True)
@@ -189,11 +189,11 @@ class Parser:
                     self.maybe(":")
                     types.append(self.name())
             if self.maybe("*"):
-                low, high = 1, MAX_HOPS
+                low = 1
                 if self.peek().isdigit():
                     low = high = int(self.take())
                 if self.maybe(".."):
-                    high = int(self.take()) if self.peek().isdigit() else MAX_HOPS
+                    high = int(self.take()) if self.peek().isdigit() else None
             props = self.props()
             self.take("]")
         self.take("-")
@@ -394,18 +394,20 @@ class Compiler:
         return own if rows is None else rows.crossJoin(own)
 
     def _var_length(self, rows: DataFrame, r: Rel, here: Column, used: list[Column]) -> DataFrame:
-        """One join a step; the edges of the path so far are an array column, and none comes twice."""
+        """One join a step; the edges of the path so far are an array column, and none comes twice. Without an upper bound, steps go on until no path is left to extend."""
         cur = rows.withColumn(r.var, F.array().cast("array<bigint>")).withColumn("_to", here)
         found = [cur] if r.low == 0 else []
         step = self._rels(r, "_e").select(F.col("_from"), F.col("_to").alias("_next"), F.col("_e.edge_id").alias("_id"))
-        for k in range(1, r.high + 1):
+        for k in itertools.count(1) if r.high is None else range(1, r.high + 1):
             nxt = cur.join(step, F.col("_to") == F.col("_from")).where(~F.array_contains(F.col(f"`{r.var}`"), F.col("_id")))
             for u in used:
                 nxt = nxt.where(~F.array_contains(u, F.col("_id")))
             cur = nxt.withColumn(r.var, F.array_append(F.col(f"`{r.var}`"), F.col("_id"))).withColumn("_to", F.col("_next")).drop("_from", "_next", "_id")
+            if r.high is None:
+                cur = cut(cur)
             if k >= r.low:
                 found.append(cur)
-            if r.high == MAX_HOPS and k >= r.low and cur.isEmpty():
+            if r.high is None and k >= r.low and cur.isEmpty():
                 break
         out = found[0]
         for f in found[1:]:
@@ -424,7 +426,7 @@ class Compiler:
             e = undirected(e)
         name = p.path or f"_p{len(self.kinds)}"
         starts = rows.select(F.col(f"`{a.var}`.id").alias("id")).distinct()
-        d = bfs_from_each(e, starts, r.high if r.high != MAX_HOPS else None).select(F.col("start").alias("_start"), F.col("id").alias("_end"), F.col("distance").cast("long").alias(name))
+        d = bfs_from_each(e, starts, r.high).select(F.col("start").alias("_start"), F.col("id").alias("_end"), F.col("distance").cast("long").alias(name))
         self.kinds[name] = "length"
         out = rows.join(d, (F.col(f"`{a.var}`.id") == F.col("_start")) & (F.col(f"`{b.var}`.id") == F.col("_end"))).drop("_start", "_end")
         return out.where(F.col(name) >= (r.low if r.low is not None else 1))

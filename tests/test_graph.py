@@ -289,6 +289,21 @@ def test_cypher(social, text, want):
     assert {tuple(r) for r in cypher.query(social, text).collect()} == want
 
 
+def test_long_paths_are_not_cut_off(spark):
+    n = 18
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src bigint, dst bigint")
+    assert [tuple(r) for r in traversal.paths(e, 0, n).collect()] == [(list(range(n + 1)), n)]
+    g = Graph(
+        spark.createDataFrame([(i, "P", f"n{i}") for i in range(n + 1)], "id bigint, label string, name string"),
+        spark.createDataFrame([(i, i, i + 1, "R") for i in range(n)], "edge_id bigint, src bigint, dst bigint, label string"),
+    )
+    walked = cypher.query(g, "MATCH (a {name: 'n0'})-[:R*]->(b) RETURN b.name").collect()
+    assert {r[0] for r in walked} == {f"n{i}" for i in range(1, n + 1)}
+    for stars, longest in (("*", n), ("*1..15", 15)):
+        hops = cypher.query(g, f"MATCH p = shortestPath((a {{name: 'n0'}})-[:R{stars}]->(b)) RETURN length(p)").collect()
+        assert max(r[0] for r in hops) == longest
+
+
 def test_cypher_create_and_errors(social):
     h = cypher.create(social, "MATCH (a:Person {name: 'Ann'}) CREATE (a)-[:KNOWS {since: 2024}]->(d:Person {name: 'Di', age: 20})")
     assert {tuple(r) for r in cypher.query(h, "MATCH (a)-[r:KNOWS]->(d {name: 'Di'}) RETURN a.name, r.since, d.age").collect()} == {("Ann", 2024, 20)}
