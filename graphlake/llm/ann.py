@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.session import cut
@@ -72,9 +72,6 @@ def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, al
     y = x[np.maximum(cand, 0)]
     d = ((y - x[p][:, None]) ** 2).sum(axis=2)
     d[cand < 0] = np.inf
-    keep = np.argsort(d, axis=1)[:, : max(96, degree)]
-    cand, d = np.take_along_axis(cand, keep, axis=1), np.take_along_axis(d, keep, axis=1)
-    y = np.take_along_axis(y, keep[:, :, None], axis=1)
     norm = (y * y).sum(axis=2)
     between = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(y, y.transpose(0, 2, 1))
     out = np.full((len(p), degree), -1, np.int64)
@@ -156,18 +153,6 @@ def _build(dim: int, degree: int, beam: int):
     return run
 
 
-def _queries(dim: int):
-    def run(batches):
-        for b in batches:
-            for ids, x in zip(b.column("ids"), b.column("x"), strict=True):
-                own, raw = ids.values, np.frombuffer(x.as_py(), np.float32)
-                for i in range(0, len(own), 2048):
-                    v = raw[i * dim : (i + 2048) * dim]
-                    yield pa.RecordBatch.from_arrays([own[i : i + 2048], pa.FixedSizeListArray.from_arrays(pa.array(v), dim).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"])
-
-    return run
-
-
 _FOUND = pa.schema([("vec_id", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))])
 
 
@@ -204,41 +189,65 @@ def shard_count(n: int, shard_rows: int = SHARD_ROWS) -> int:
     return -(-n // shard_rows)
 
 
-def neighbours(vectors: DataFrame, k: int = K, degree: int = DEGREE, beam: int = BEAM, search_beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The ``k`` nearest other vectors of every row of ``vectors(vec_id, embedding)``: ``(vec_id, rank, neighbour_id, distance)``, Euclidean.
-
-    Vectors are spread by hash over shards of ``shard_rows`` on average at most, whatever the table's size: degree and beams are fixed, and the
-    recall they give falls in larger graphs. Each shard's graph (Vamana, Subramanya et al., 2019) is built in one task. Every vector is then a query of every
-    shard: tasks are pairs of a shard and a part of the queries, a beam search of width ``search_beam`` finds a shard's best, and the best of
-    all shards are merged by distance, ties by id. Work grows with vectors times shards.
-
-    Null ids, null vectors, vectors with null or NaN elements and those of another length than the most frequent one (ties: the longer) are left out.
-    Rows of one vec_id count as one (the least vector by elements); equal vectors under different ids are neighbours at distance 0.
-    With fewer than ``k`` others there are fewer rows. Other columns are ignored. An empty table gives no rows.
+def usable(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, embedding)`` as 64-bit ids and 32-bit floats, without null ids, null or empty vectors and vectors with an element that is null or not finite as a float."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    inf = F.lit(float("inf")).cast("float")
+    bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == inf))
+    return v.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(~bad)
+
+
+def neighbours(
+    vectors: DataFrame,
+    queries: DataFrame | None = None,
+    k: int = K,
+    degree: int = DEGREE,
+    beam: int = BEAM,
+    search_beam: int = SEARCH_BEAM,
+    shard_rows: int = SHARD_ROWS,
+    query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """The ``k`` nearest other vectors of ``vectors(vec_id, embedding)`` for every row of ``queries`` (by default: for every vector):
+    ``(vec_id, rank, neighbour_id, distance)``, Euclidean.
+
+    All vectors are indexed. They are spread by hash over shards of ``shard_rows`` on average at most, whatever the table's size and the cluster: degree
+    and beams are fixed, and the recall they give falls in larger graphs. Each shard's graph (Vamana, Subramanya et al., 2019) is built in one
+    task. Every query visits every shard: tasks are pairs of a shard and a part of the queries, a beam search of width ``search_beam`` finds a
+    shard's best, and the best of all shards are merged by distance, ties by id. Building is linear in the vectors; searching takes
+    queries times shards.
+
+    Null ids, null or empty vectors, vectors with elements that are null, NaN or infinite (also doubles beyond the range of a float) and those of another
+    length than the most frequent one (ties: the longer) are left out, as queries too. Rows of one vec_id count as one (the least vector by elements), and so do
+    rows of one query; a query's own vec_id is not among its neighbours. Equal vectors under different ids are neighbours at distance 0.
+    With fewer than ``k`` others there are fewer rows. Very long vectors are like others: a task holds one shard. Other columns are ignored. An
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     schema = "vec_id bigint, rank int, neighbour_id bigint, distance double"
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    v = v.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(~F.exists("embedding", lambda e: e.isNull() | F.isnan(e)))
+    v = usable(vectors)
     sizes = sorted(((r["count"], r.n) for r in v.groupBy(F.size("embedding").alias("n")).count().collect()), reverse=True)
     if not sizes:
         return spark.createDataFrame([], schema)
     n, dim = sizes[0]
     shards = shard_count(n, shard_rows)
-    parts = -(-n // QUERY_ROWS)
+    q = v if queries is None else usable(queries)
+    q = q.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     v = v.where(F.size("embedding") == dim).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     graphs = cut(v.repartitionById(shards, v["shard"]).select("shard", "vec_id", "embedding").mapInArrow(_build(dim, degree, beam), _GRAPH_SQL))
-    q = graphs.select("ids", "x").mapInArrow(_queries(dim), "vec_id bigint, embedding array<float>")
+    q = cut(q)
+    parts = max(1, -(-q.count() // query_rows))
     q = q.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    g = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    g = graphs.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = shards * parts
     found = (
         q.repartition(pairs, "shard", "part").groupBy("shard", "part").cogroup(g.repartition(pairs, "shard", "part").groupBy("shard", "part")).applyInArrow(_search(dim, k, search_beam), "vec_id bigint, near array<struct<d: double, id: bigint>>")
     )
-    best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return best.select("vec_id", F.posexplode("near").alias("pos", "x")).select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.round("x.d", 6).alias("distance"))
+    near = found.select("vec_id", F.explode("near").alias("x")).select("vec_id", "x.d", "x.id")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "id"))  # limited to k before the shuffle, too
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", F.col("id").alias("neighbour_id"), F.round("d", 6).alias("distance"))
 
 
 def op7_nearest_neighbours(spark, sf_dir):
-    """Ten nearest neighbours of every vector of the whole embeddings table."""
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Ten nearest neighbours, among all vectors of the embeddings table, of every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours(vectors, vectors.where("vec_id % 50 = 0"))

@@ -113,7 +113,7 @@ def test_toxicity(spark, messy, empty, labels):
 
 def test_neighbours(spark):
     rows = [(i, [float(i), 0.0, 1.0], 0, 0, 0, 0, "x") for i in range(30)]
-    rows += [(3, [3.0, 0.0, 1.0], 0, 0, 0, 0, "x"), (None, [1.0, 1.0, 1.0], 0, 0, 0, 0, "x"), (40, None, 0, 0, 0, 0, "x"), (41, [1.0], 0, 0, 0, 0, "x"), (42, [1.0, None, 2.0], 0, 0, 0, 0, "x"), (43, [1.0, math.nan, 2.0], 0, 0, 0, 0, "x"), (44, [5.0, 0.0, 1.0], None, 0, 0, 0, "x"), (45, [], 0, 0, 0, 0, "x")]
+    rows += [(3, [3.0, 0.0, 1.0], 0, 0, 0, 0, "x"), (None, [1.0, 1.0, 1.0], 0, 0, 0, 0, "x"), (40, None, 0, 0, 0, 0, "x"), (41, [1.0], 0, 0, 0, 0, "x"), (42, [1.0, None, 2.0], 0, 0, 0, 0, "x"), (43, [1.0, math.nan, 2.0], 0, 0, 0, 0, "x"), (44, [5.0, 0.0, 1.0], None, 0, 0, 0, "x"), (45, [], 0, 0, 0, 0, "x"), (46, [1.0, math.inf, 2.0], 0, 0, 0, 0, "x"), (47, [-math.inf, 0.0, 2.0], 0, 0, 0, 0, "x")]
     v = spark.createDataFrame(rows, VECTOR_SCHEMA)
     out = ann.neighbours(v, k=3, shard_rows=10).collect()
     by = {}
@@ -122,7 +122,9 @@ def test_neighbours(spark):
     assert set(by) == {*range(30), 44}
     assert sorted(by[5])[0] == (1, 44, 0.0) and len(by[3]) == 3
     assert [x[1] for x in sorted(by[10])][:2] == [9, 11]
-    assert ann.neighbours(v.limit(0)).count() == 0
+    assert ann.neighbours(v.limit(0)).count() == 0 and ann.neighbours(v, v.limit(0)).count() == 0
+    some = ann.neighbours(v, v.where("vec_id IN (3, 5, 43, 46) OR vec_id IS NULL"), k=3, shard_rows=10).collect()
+    assert sorted(tuple(r) for r in some) == sorted(tuple(r) for r in out if r.vec_id in (3, 5))
     one = ann.neighbours(v.where("vec_id in (1, 2)"), k=5).collect()
     assert sorted((r.vec_id, r.neighbour_id) for r in one) == [(1, 2), (2, 1)]
 

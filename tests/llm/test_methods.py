@@ -328,6 +328,19 @@ def test_neighbours_recall(spark, sf):
     assert one.distance.is_monotonic_increasing and abs(one.distance.iloc[0] - math.sqrt(d[0].min())) < 1e-5
 
 
+def test_query_finds_neighbours_for_every_fiftieth_row(spark):
+    for sf in ("sf0.001", "sf0.1"):
+        t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+        x, ids = np.stack(t.embedding).astype(float), t.vec_id.to_numpy()
+        at = np.flatnonzero(ids % 50 == 0)
+        d = ((x[at][:, None] - x) ** 2).sum(axis=2)
+        d[np.arange(len(at)), at] = np.inf
+        got = ann.op7_nearest_neighbours(spark, f"/root/testdata/{sf}").toPandas()
+        near = got.groupby("vec_id").neighbour_id.apply(set)
+        assert set(near.index) == set(ids[at]) and (got.groupby("vec_id").size() == 10).all()
+        assert np.mean([len(near[i] & set(ids[np.argsort(row)[:10]])) / 10 for i, row in zip(ids[at], d, strict=True)]) >= 0.9
+
+
 def test_shards_stay_at_the_size_whose_recall_is_measured(spark):
     assert all(n / ann.shard_count(n) <= ann.SHARD_ROWS == 8192 for n in (1, 8192, 8193, 80_000, 10**6, 10**8))
     x = np.random.default_rng(9).normal(size=(8192, 64)).astype(np.float32)
