@@ -13,7 +13,7 @@ from graphlake.llm import textops as T
 HIDDEN, SEGMENT = 8, 64
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 640
 OTHER = "und"
-REJECT = 0.998
+REJECT = 0.75
 _ROWS = 2048
 
 
@@ -230,8 +230,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
 
 
 def known(prob: np.ndarray) -> np.ndarray:
-    """Documents that are in some language: all but those with nearly all of their mass on ``und``. Numbers, capitals or code in a text do not suffice."""
-    return prob[:, -1] < REJECT
+    """Documents that are in some language: all but those with more than three quarters of their mass on ``und``, whose bytes are mostly numbers, keys or noise. Capitals, lists or some numbers in a text do not suffice."""
+    return prob[:, -1] <= REJECT
 
 
 def _identify(net: Network | None):
@@ -261,11 +261,12 @@ def identify(docs: DataFrame, net: Network | None = None, **training) -> DataFra
 
     The network (fitted here by :func:`train` unless given) labels every byte of the whole text, read in segments of 64
     bytes from both ends of each; ``probability`` is the mean over all positions for the ``language`` whose mean is greatest (ties: the
-    first by name), ``n_agree`` counts the positions that it labels. A text whose mean for ``und`` is REJECT or more is in no
-    language: ``language`` is ``und`` and ``keep`` false.
+    first by name), ``n_agree`` counts the positions that it labels. A text whose mean for ``und`` is over REJECT (three quarters of its
+    bytes) is in no language: ``language`` is ``und`` and ``keep`` false.
 
-    Null and empty texts have a null language, probability 0 and are not kept; where nothing is labelled, nothing can be
-    fitted, and that holds for all rows. Repeated rows and null doc_ids are rows like others; other columns are ignored.
+    Null and empty texts have a null language, probability 0 and are not kept; texts of any length are read whole; where nothing is labelled,
+    nothing can be fitted, and that holds for all rows. Repeated rows and null doc_ids are rows like others; other columns are ignored. An empty
+    table gives no rows.
     """
     if net is None:
         net = train(docs, **training)
@@ -273,7 +274,10 @@ def identify(docs: DataFrame, net: Network | None = None, **training) -> DataFra
 
 
 def keep_known(docs: DataFrame, net: Network | None = None, **training) -> DataFrame:
-    """The rows of ``docs`` that :func:`identify` keeps, as they are, also with names that clash with its columns."""
+    """The rows of ``docs`` that :func:`identify` keeps, as they are, also with names that clash with its columns.
+
+    Rows with a null or empty text go, and so do those mostly in no language; repeated rows go or stay together. Where no row is labelled nothing is kept.
+    """
     if net is None:
         net = train(docs, **training)
     names = docs.columns

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphlake.llm import textops as T
-from graphlake.session import cut
+from graphlake.session import cut, drop_scratch
 
 _NUMBERS = re.compile(
     r"""(?<![\w.+-])(?:
@@ -26,7 +26,7 @@ _NUMBERS = re.compile(
     re.X | re.ASCII,
 )
 _LONG = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}")
-_AT = re.compile(r"[A-Za-z0-9._%+'-]*@[A-Za-z0-9.-]*")
+_AT = re.compile(r"(?<![A-Za-z0-9._%+'-])[A-Za-z0-9._%+'-]*@[A-Za-z0-9.-]*")  # tried once a run, so long runs take linear time
 _DIGIT = re.compile(r"[0-9]")
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$")
 _DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$|\d{1,2}:\d{2}(:\d{2})?$")
@@ -234,8 +234,8 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     estimates how reliable each is; a logistic classifier over votes, kind and shape is trained on the resulting posteriors
     and keeps spans with a probability of at least ``threshold``. Of overlapping candidates the first and longest counts.
 
-    Null and empty texts have no span; repeated rows give their spans again; a null doc_id stays null; other columns are ignored. An empty
-    table gives no rows.
+    Null and empty texts have no span; texts of any length are scanned whole, in time that grows with their length; repeated rows give their spans
+    again; a null doc_id stays null; other columns are ignored. An empty table gives no rows.
     """
     found = cut(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id bigint, start_char int, end_char int, kind string, votes string"))
     probability = _decide(fit(found))
@@ -250,32 +250,35 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every span of :func:`find` replaced by its kind in angle brackets, and ``n_chars``, if there is one, counted anew.
+    """``docs`` with every span of :func:`find` replaced by its kind in angle brackets, and ``n_chars``, if there is one, counted anew in the rows that change.
 
-    All rows stay; other columns stay as they are, and texts without a span too. The text is scanned twice, once to fit and once to redact.
+    All rows stay, in any batch alike; other columns stay as they are, and rows without a span wholly so: those with a null or empty text, too.
+    Texts of any length are scanned whole, in time that grows with their length, twice: once to fit and once to redact. Repeated rows are redacted alike; an
+    empty table stays empty; columns may have any other names.
     """
     found = cut(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id bigint, start_char int, end_char int, kind string, votes string").select("kind", "votes"))
     probability = _decide(fit(found))
+    drop_scratch(found)
     names, schema = docs.columns, docs.schema
     text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts, changed = b.column(text_at).to_pylist(), False
+            texts, changed = b.column(text_at).to_pylist(), np.zeros(b.num_rows, bool)
             for i, text in enumerate(texts):
                 spans = [(s, e, k) for s, e, k in candidates(text or "") if probability(k, vote_pattern(k, text[s:e], text[max(0, s - 32) : s].lower())) >= threshold]
                 if spans:
-                    changed, parts, at = True, [], 0
+                    changed[i], parts, at = True, [], 0
                     for s, e, k in spans:
                         parts += [text[at:s], f"<{k.upper()}>"]
                         at = e
                     texts[i] = "".join(parts) + text[at:]
             columns = list(b.columns)
-            if changed:
+            if changed.any():
                 columns[text_at] = pa.array(texts, columns[text_at].type)
                 if size_at is not None:
                     old = columns[size_at]
-                    columns[size_at] = pc.if_else(pc.equal(columns[text_at], b.column(text_at)), old, pc.utf8_length(columns[text_at]).cast(old.type))
+                    columns[size_at] = pc.if_else(pa.array(changed), pc.utf8_length(columns[text_at]).cast(old.type), old)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 NULL_ID = np.int64(-(2**63))
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 WORD_BASE, GRAM_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 _SPACE = np.zeros(256, bool)
