@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlake.llm import textops as T
 from graphlake.operators.components import connected_components
-from graphlake.session import cut
+from graphlake.session import cut, drop_scratch
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLIERS = _rng.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,21 +20,35 @@ def fold(m: np.ndarray) -> np.ndarray:
     return (T.mix(m) >> np.uint64(48)).astype(np.uint16)
 
 
-def extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that have hashes, and their signatures.
+def raw_extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have hashes, and their extremes.
 
     Under every permutation of 64-bit hashes the least value is kept and, with ``both``, the greatest too,
     side by side.
     """
     has = np.bincount(doc, minlength=n) > 0
     at = np.searchsorted(doc, np.flatnonzero(has))
-    sig = np.empty((len(at), permutations * (1 + both)), np.uint16)
+    out = np.empty((len(at), permutations * (1 + both)), np.uint64)
     for k in range(permutations if len(at) else 0):
         v = h * MULTIPLIERS[k]
-        sig[:, k * (1 + both)] = fold(np.minimum.reduceat(v, at))
+        out[:, k * (1 + both)] = np.minimum.reduceat(v, at)
         if both:
-            sig[:, 2 * k + 1] = fold(np.maximum.reduceat(v, at))
-    return np.flatnonzero(has), sig
+            out[:, 2 * k + 1] = np.maximum.reduceat(v, at)
+    return np.flatnonzero(has), out
+
+
+def joined(parts: list[np.ndarray], both: bool) -> np.ndarray:
+    """The extremes of a document from those of its pieces."""
+    out = np.min(parts, axis=0)
+    if both:
+        out[:, 1::2] = np.max([p[:, 1::2] for p in parts], axis=0)
+    return out
+
+
+def extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have hashes, and their signatures: :func:`raw_extremes`, folded."""
+    has, raw = raw_extremes(h, doc, n, permutations, both)
+    return has, fold(raw)
 
 
 def signature_id(sig: np.ndarray) -> np.ndarray:
@@ -152,6 +166,7 @@ def document_groups(marked: DataFrame, rows: int, threshold: float) -> DataFrame
     some = marked.where("doc_id IS NOT NULL")
     sigs = cut(some.groupBy("sid").agg(F.first("sig").alias("sig")))
     comp = cut(signature_groups(sigs, rows, threshold))
+    drop_scratch(sigs)
     flat = some.drop("sig").join(comp.select(F.col("id").alias("sid"), "component"), "sid", "left")
     flat = flat.withColumn("component", F.coalesce("component", "sid"))
     heads = flat.select("component", "doc_id").distinct().groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))

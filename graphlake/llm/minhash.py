@@ -21,8 +21,12 @@ def _sign(shingle: int, permutations: int):
         for batch in batches:
             doc_ids = T.ids(batch.column("doc_id"))
             for i, j, data, offs in T.chunks(batch):
-                h, doc = T.shingles(data, offs, shingle)
-                has, sig = lsh.extremes(h, doc, j - i, permutations, both=True)
+                if j - i == 1 and len(data) > 2 * T.CHUNK_BYTES:  # a very long text, piece by piece
+                    parts = [lsh.raw_extremes(h, np.zeros(len(h), np.int64), 1, permutations, both=True)[1] for h in T.long_shingles(data, shingle) if len(h)]
+                    has, sig = np.zeros(min(1, len(parts)), np.int64), lsh.fold(lsh.joined(parts, both=True)) if parts else None
+                else:
+                    h, doc = T.shingles(data, offs, shingle)
+                    has, sig = lsh.extremes(h, doc, j - i, permutations, both=True)
                 if len(has):
                     raw = sig.tobytes()
                     step = sig.shape[1] * 2
@@ -41,7 +45,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, permutations: int =
     signature are linked; groups are the connected components; ``group_id`` is the least doc_id, which is the one kept.
 
     Null, empty or blank texts have no shingle and are in no group; a text of fewer tokens than a
-    shingle has the one shingle of all its tokens. Rows with one doc_id count as one document (texts that differ
+    shingle has the one shingle of all its tokens; very long texts are read whole, in pieces. Rows with one doc_id count as one document (texts that differ
     join their groups); null doc_ids take no part. Ties cannot arise: the least id keeps. An empty table gives no rows.
     """
     marked = cut(docs.select("doc_id", "text").mapInArrow(_sign(shingle, permutations), "doc_id bigint, sid bigint, sig binary"))
@@ -62,8 +66,8 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     names = docs.columns
     again = kept.join(twice, "doc_id", "left_semi").select(*names).toDF(*[f"c{i}" for i in range(len(names))])
     key = [f"c{names.index(x)}" for x in ("doc_id", "text")]
-    rest = [f"c{i}" for i, f in enumerate(docs.schema.fields) if f"c{i}" not in key and isinstance(f.dataType, ST.AtomicType)]
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))
+    rest = [F.col(f"c{i}") if isinstance(f.dataType, ST.AtomicType) and not isinstance(f.dataType, ST.VariantType) else F.to_json(F.struct(f"c{i}")) for i, f in enumerate(docs.schema.fields) if f"c{i}" not in key]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or [F.col(c) for c in key])))
     once = again.withColumn("_rank", first).where("_rank = 1").drop("_rank").toDF(*names)
     return kept.join(twice, "doc_id", "left_anti").select(*names).unionByName(once)
 

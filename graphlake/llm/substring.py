@@ -35,7 +35,7 @@ def _send(parts: int, width: int):
 
         def emit(uid):
             doc_ids, counts, h = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16)
+            part = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
             order = np.argsort(part, kind="stable").astype(np.int32)
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(uid % parts, uid, -1, _pack(doc_ids), _pack(counts))]
@@ -125,8 +125,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ranges follows the input. Overlapping or touching windows merge. All occurrences are reported.
 
     Null or empty texts and documents of fewer than ``width`` tokens have no windows. Repeated rows are
-    occurrences of their own (each is reported); a null doc_id stays null. Other columns are ignored. An empty
-    table gives no rows. The default of 45 finds every repeated passage of 50 words even if its
+    occurrences of their own (each is reported); texts of any length are read whole; a null doc_id stays null. Other columns are
+    ignored. An empty table gives no rows. The default of 45 finds every repeated passage of 50 words even if its
     first and last words are glued to their surroundings.
     """
     parts = fan_out(docs, 12 << 20)

@@ -138,3 +138,30 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
         order = np.argsort(gd, kind="stable")
         g, gd = g[order], gd[order]
     return g, gd
+
+
+def long_shingles(data: np.ndarray, width: int, size: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """The shingle hashes of one very long text, as :func:`shingles` has them, by pieces of about ``size`` bytes that overlap by ``width - 1`` tokens.
+
+    A piece holds whole tokens, so a longer token makes a longer piece. A text with fewer tokens than ``width`` is one piece.
+    """
+    begin, stop = 0, data.size
+    while True:
+        cut = min(stop, begin + size)
+        while cut < stop:  # on to the end of the token
+            blank = np.flatnonzero(_SPACE[data[cut : cut + size]])
+            if len(blank):
+                cut += int(blank[0])
+                break
+            cut = min(stop, cut + size)
+        part = data[begin:cut]
+        g, _ = shingles(part, np.array([0, len(part)]), width)
+        start = token_spans(part, np.array([0, len(part)]))[0]
+        if cut < stop and len(start) < width:  # too few tokens yet: a piece twice as long
+            size *= 2
+            continue
+        if begin == 0 or len(start) >= width:
+            yield g
+        if cut >= stop:
+            return
+        begin += int(start[len(start) - width + 1]) if width > 1 else cut - begin

@@ -449,6 +449,20 @@ def test_minmax_estimates_jaccard():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.055
 
 
+def test_very_long_texts_in_pieces(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 700_000)]
+    other = list(words)
+    for i in range(0, len(other), 50):
+        other[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " " * 5_000_000), (4, "x" * 5_000_000), (5, "short one here")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.group_id) for r in minhash.near_duplicates(d).collect()) == [(1, 1), (2, 1)]
+    data = np.frombuffer(" ".join(words[:3000]).encode(), np.uint8)
+    whole = T.shingles(data, np.array([0, len(data)]), 3)[0]
+    assert set(whole.tolist()) == {x for g in T.long_shingles(data, 3, 500) for x in g.tolist()}
+
+
 def test_near_duplicates_against_all_pairs(docs, rows):
     sets = _jaccard_sets(rows)
     groups = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs).collect()}
