@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphlake.llm import langid, minhash, mixing, packing, pii
-from graphlake.session import cut
+from graphlake.session import cut, drop_scratch, scratch_scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each stage's result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch_scope(spark) as keep:
+            done = keep(cut(stage(spark, docs, sf_dir)))
+        drop_scratch(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

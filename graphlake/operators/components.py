@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from graphlake.session import cut, drop_scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every endpoint of ``edges``; the component is its smallest id.
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until the edge set is a forest
     of stars. Each round shuffles only the edges that are left, at most as many as came in, and
-    hooks every vertex to a smaller one, so long chains need about log2 of their length in rounds. Loops
+    hooks every vertex to a smaller one, so long chains need about log2 of their length in rounds; they go on until none changes an edge. Loops
     and null endpoints are dropped; an isolated vertex is the caller's to add (a left join).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
         large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
