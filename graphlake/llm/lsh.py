@@ -15,9 +15,9 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLIERS = _rng.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fold(m: np.ndarray) -> np.ndarray:
-    """16 bits of each 64-bit extreme: unequal extremes agree with probability 2**-16."""
-    return (T.mix(m) >> np.uint64(48)).astype(np.uint16)
+def fold(m: np.ndarray, kind: type = np.uint16) -> np.ndarray:
+    """The upper bits of each mixed 64-bit extreme, 16 or 8: unequal extremes agree with probability 2**-16 or 2**-8."""
+    return (T.mix(m) >> np.uint64(64 - 8 * np.dtype(kind).itemsize)).astype(kind)
 
 
 def raw_extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +45,10 @@ def joined(parts: list[np.ndarray], both: bool) -> np.ndarray:
     return out
 
 
-def extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+def extremes(h: np.ndarray, doc: np.ndarray, n: int, permutations: int, both: bool, kind: type = np.uint16) -> tuple[np.ndarray, np.ndarray]:
     """Documents that have hashes, and their signatures: :func:`raw_extremes`, folded."""
     has, raw = raw_extremes(h, doc, n, permutations, both)
-    return has, fold(raw)
+    return has, fold(raw, kind)
 
 
 def signature_id(sig: np.ndarray) -> np.ndarray:
@@ -62,13 +62,13 @@ _KEYS = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def _bands(rows: int):
+def _bands(rows: int, kind: type):
     def run(batches):
         for batch in batches:
             sid = batch.column("sid").to_numpy()
             if not len(sid):
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(sid), -1)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), kind).reshape(len(sid), -1)
             bands = sig.shape[1] // rows
             g = sig[:, : bands * rows].reshape(len(sid) * bands, rows).astype(np.uint64)
             key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), len(sid)) * T.WORD_BASE
@@ -97,7 +97,7 @@ def link(sig: np.ndarray, threshold: float) -> np.ndarray:
     return head
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, kind: type):
     def run(batches):
         held = []
 
@@ -118,7 +118,7 @@ def _verify(threshold: float):
             if not batch.num_rows:
                 continue
             group, sid = batch.column("grp").to_numpy(), batch.column("sid").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(sid), -1)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), kind).reshape(len(sid), -1)
             held.append((group, sid, sig))
             other = np.flatnonzero(group != group[-1])
             last = int(other[-1]) + 1 if len(other) else 0
@@ -133,15 +133,15 @@ def _verify(threshold: float):
     return run
 
 
-def signature_groups(sigs: DataFrame, rows: int, threshold: float) -> DataFrame:
+def signature_groups(sigs: DataFrame, rows: int, threshold: float, kind: type = np.uint16) -> DataFrame:
     """Groups of near-equal signatures: ``(sid, component)`` for every signature that agrees with another one.
 
     ``sigs(sid, sig)`` has one row per distinct signature. Signatures that share a band of ``rows`` values meet in
-    a bucket; buckets with the same members are kept once; inside a bucket all pairs that no link joins yet
+    a bucket (values are of ``kind``); buckets with the same members are kept once; inside a bucket all pairs that no link joins yet
     are compared over the whole signature, with no limit on the bucket's size; links are closed to components.
     Only keys and ids cross the shuffle for all signatures; signatures themselves follow only into shared buckets.
     """
-    keys = sigs.mapInArrow(_bands(rows), "key bigint, sid bigint")
+    keys = sigs.mapInArrow(_bands(rows, kind), "key bigint, sid bigint")
     w = Window.partitionBy("key")
     shared = keys.select(
         "sid",
@@ -152,11 +152,11 @@ def signature_groups(sigs: DataFrame, rows: int, threshold: float) -> DataFrame:
     )
     shared = shared.where("n > 1").select(F.xxhash64("n", "lo", "hi", "members").alias("grp"), "sid").distinct()
     full = shared.join(sigs, "sid").repartition("grp").sortWithinPartitions("grp", "sid").select("grp", "sid", "sig")
-    edges = full.mapInArrow(_verify(threshold), "src bigint, dst bigint")
+    edges = full.mapInArrow(_verify(threshold, kind), "src bigint, dst bigint")
     return connected_components(edges)
 
 
-def document_groups(marked: DataFrame, rows: int, threshold: float) -> DataFrame:
+def document_groups(marked: DataFrame, rows: int, threshold: float, kind: type = np.uint16) -> DataFrame:
     """``marked(doc_id, sid, sig, ...)`` with ``group_id``, the least doc_id of the document's group, and ``group_size``.
 
     Documents of one signature are a group before anything else, so thousands of copies count as one below.
@@ -165,7 +165,7 @@ def document_groups(marked: DataFrame, rows: int, threshold: float) -> DataFrame
     """
     some = marked.where("doc_id IS NOT NULL")
     sigs = cut(some.groupBy("sid").agg(F.first("sig").alias("sig")))
-    comp = cut(signature_groups(sigs, rows, threshold))
+    comp = cut(signature_groups(sigs, rows, threshold, kind))
     drop_scratch(sigs)
     flat = some.drop("sig").join(comp.select(F.col("id").alias("sid"), "component"), "sid", "left")
     flat = flat.withColumn("component", F.coalesce("component", "sid"))

@@ -12,8 +12,8 @@ NULL_ID = np.int64(-(2**63))
 CHUNK_BYTES = 1 << 20
 WORD_BASE, GRAM_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(b" \t\n\r\f\v")] = True
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\f\v")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -79,7 +79,7 @@ def token_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    tok = ~_SPACE[data]
+    tok = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)
@@ -149,7 +149,7 @@ def long_shingles(data: np.ndarray, width: int, size: int = CHUNK_BYTES) -> Iter
     while True:
         cut = min(stop, begin + size)
         while cut < stop:  # on to the end of the token
-            blank = np.flatnonzero(_SPACE[data[cut : cut + size]])
+            blank = np.flatnonzero(SPACE[data[cut : cut + size]])
             if len(blank):
                 cut += int(blank[0])
                 break

@@ -241,36 +241,51 @@ def test_substring_brute_force(spark):
 # --- 5 ---
 
 
-def test_lz_parse_and_hashes():
-    text = b"abab abab xabab zz zzz"
-    tree, want = set(), []
-    for word in text.split():
-        cur = b""
-        for c in word:
-            cur += bytes([c])
-            if cur not in tree:
-                tree.add(cur)
-                want.append(cur)
-                cur = b""
-    keys = lzprint.parse(text)
-    phrases = []
-    for k in keys:
-        phrases.append((phrases[(k >> 8) - 1] if k >> 8 else b"") + bytes([k & 255]))
-    assert phrases == want
-    two = np.array(keys + keys, np.int64)
-    h, size = lzprint.phrase_hashes(two, np.repeat([0, len(keys)], len(keys)))
-    assert (h[: len(keys)] == h[len(keys) :]).all() and len(set(h.tolist())) == len(want) and size[: len(keys)].tolist() == [len(p) for p in want]
+def _phrases(t):
+    """By the definition, without arrays."""
+    n, seen, first = len(t), {}, []
+    for i in range(n):
+        first.append(seen.setdefault(t[i : i + 7], i) if i + 7 <= n else None)
+    out, i = [], 0
+    while i < n:
+        size = 1
+        while size <= 7 and i + size <= n and t.find(t[i : i + size], 0, i + size - 1) >= 0:
+            size += 1
+        if size > 7:
+            e = i
+            while e + 1 < n and first[e + 1] is not None and first[e + 1] == first[e] + 1:
+                e += 1
+            size = 8 + e - i
+        size = min(size, n - i)
+        out.append(t[i : i + size])
+        i += size
+    return out
+
+
+def test_lz_parse_by_definition(rows):
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(97, 97 + rng.integers(1, 6), rng.integers(0, 200)).astype(np.uint8).tobytes().decode() for _ in range(300)]
+    texts += [texts[1] * 3, "abc def " * 20, *[r.text[:2000] for r in list(rows.values())[:10]]]
+    data, offs = _buffer(texts)
+    got = defaultdict(list)
+    for s, e, d in zip(*lzprint.phrases(data, offs), strict=True):
+        got[d].append(bytes(data[s:e]))
+    assert [got[i] for i in range(len(texts))] == [_phrases(t.encode()) for t in texts]
+
+
+def test_lz_windows_of_a_very_long_text():
+    text = "".join(map(str, range(500_000)))
+    start, end, doc = lzprint.phrases(*_buffer(["ab", text, "cd"]))
+    assert start[0] == 0 and (start[1:] == end[:-1]).all() and end[-1] == len(text) + 4 and set(doc.tolist()) == {0, 1, 2}
+    assert {lzprint.WINDOW + 2, 2 * lzprint.WINDOW + 2} <= set(start.tolist())
 
 
 def test_fingerprint_groups_against_all_pairs(docs, rows):
     sets = {}
     for i, r in rows.items():
-        keys = np.array(lzprint.parse(r.text.encode()), np.int64)
-        if len(keys):
-            h, size = lzprint.phrase_hashes(keys, np.zeros(len(keys), np.int64))
-            use = lzprint.compared(size, np.zeros(len(keys), int), 1)
-            _, sig = lsh.extremes(h[use], np.zeros(use.sum(), int), 1, lzprint.PERMUTATIONS, both=False)
-            sets[i] = sig[0]
+        if r.text.split():
+            data, offs = _buffer([r.text])
+            sets[i] = lsh.extremes(*lzprint.elements(data, offs)[:2], 1, lzprint.PERMUTATIONS, both=False, kind=np.uint8)[1][0]
     pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if (sets[a] == sets[b]).mean() >= lzprint.THRESHOLD]
     want = _components(sets, pairs)
     got = {r.doc_id: r.group_id for r in lzprint.fingerprints(docs).collect()}
@@ -279,6 +294,20 @@ def test_fingerprint_groups_against_all_pairs(docs, rows):
     assert len(pairs) > 5 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
 
 
+def test_shuffled_words_are_another_text(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(20):
+        w = [vocabulary[k] for k in rng.integers(0, 400, 1500)]
+        edited = [vocabulary[rng.integers(0, 400)] if rng.random() < 0.06 else x for x in w]
+        rows += [(4 * i, " ".join(w)), (4 * i + 1, " ".join(rng.permutation(w))), (4 * i + 2, " ".join(sorted(w))), (4 * i + 3, " ".join(edited))]
+    got = {r.doc_id: r.group_id for r in lzprint.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(20):
+        a, b, c, d = (got[4 * i + k] for k in range(4))
+        assert a == d == 4 * i and b == 4 * i + 1 and c != a  # sorted texts of one vocabulary are alike among themselves
+
+
 def test_fingerprint_links_near_copies_by_shingles(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")
     sets = _jaccard_sets({r.doc_id: r for r in d.collect()})
