@@ -69,6 +69,8 @@ def _bands(rows: int, kind: type):
             if not len(sid):
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), kind).reshape(len(sid), -1)
+            if "low" in batch.schema.names:
+                sig = sig.astype(np.uint16) << 8 | np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(sig.shape)
             bands = sig.shape[1] // rows
             g = sig[:, : bands * rows].reshape(len(sid) * bands, rows).astype(np.uint64)
             key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), len(sid)) * T.WORD_BASE
@@ -139,7 +141,8 @@ def signature_groups(sigs: DataFrame, rows: int, threshold: float, kind: type =
     ``sigs(sid, sig)`` has one row per distinct signature. Signatures that share a band of ``rows`` values meet in
     a bucket (values are of ``kind``); buckets with the same members are kept once; inside a bucket all pairs that no link joins yet
     are compared over the whole signature, with no limit on the bucket's size; links are closed to components.
-    Only keys and ids cross the shuffle for all signatures; signatures themselves follow only into shared buckets.
+    Only keys and ids cross the shuffle for all signatures; signatures themselves follow only into shared buckets. Where 8 bits of each value
+    suffice there, a column ``low`` has 8 more bits for the keys, so that chance brings few unequal bands together.
     """
     keys = sigs.mapInArrow(_bands(rows, kind), "key bigint, sid bigint")
     w = Window.partitionBy("key")
@@ -151,7 +154,7 @@ def signature_groups(sigs: DataFrame, rows: int, threshold: float, kind: type =
         F.sum(F.xxhash64("sid").bitwiseAND((1 << 40) - 1)).over(w).alias("members"),
     )
     shared = shared.where("n > 1").select(F.xxhash64("n", "lo", "hi", "members").alias("grp"), "sid").distinct()
-    full = shared.join(sigs, "sid").repartition("grp").sortWithinPartitions("grp", "sid").select("grp", "sid", "sig")
+    full = shared.join(sigs.select("sid", "sig"), "sid").repartition("grp").sortWithinPartitions("grp", "sid").select("grp", "sid", "sig")
     edges = full.mapInArrow(_verify(threshold, kind), "src bigint, dst bigint")
     return connected_components(edges)
 
@@ -164,10 +167,10 @@ def document_groups(marked: DataFrame, rows: int, threshold: float, kind: type =
     documents, and repeated rows of a doc_id count once.
     """
     some = marked.where("doc_id IS NOT NULL")
-    sigs = cut(some.groupBy("sid").agg(F.first("sig").alias("sig")))
+    sigs = cut(some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("sig", "low") if c in some.columns]))
     comp = cut(signature_groups(sigs, rows, threshold, kind))
     drop_scratch(sigs)
-    flat = some.drop("sig").join(comp.select(F.col("id").alias("sid"), "component"), "sid", "left")
+    flat = some.drop("sig", "low").join(comp.select(F.col("id").alias("sid"), "component"), "sid", "left")
     flat = flat.withColumn("component", F.coalesce("component", "sid"))
     heads = flat.select("component", "doc_id").distinct().groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return flat.join(heads, "component").drop("component")

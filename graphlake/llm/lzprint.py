@@ -13,7 +13,7 @@ from graphlake.session import cut
 
 PERMUTATIONS, ROWS, THRESHOLD = 168, 3, 0.3
 WINDOW, _KEY, _DOCS = 1 << 20, 7, 256
-_SIGS = pa.schema([("doc_id", pa.int64()), ("n_phrases", pa.int64()), ("sid", pa.int64()), ("sig", pa.binary())])
+_SIGS = pa.schema([("doc_id", pa.int64()), ("n_phrases", pa.int64()), ("sid", pa.int64()), ("sig", pa.binary()), ("low", pa.binary())])
 
 
 def phrase_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -105,15 +105,13 @@ def _sign(permutations: int):
             doc_ids = T.ids(batch.column("doc_id"))
             for i, j, data, offs in T.chunks(batch, WINDOW):
                 h, doc, count = elements(data, offs)
-                has, sig = lsh.extremes(h, doc, j - i, permutations, both=False, kind=np.uint8)
+                has, sig = lsh.extremes(h, doc, j - i, permutations, both=False)
                 some = np.concatenate(([0], np.cumsum(~T.SPACE[data])))[offs]
                 some = some[1:] > some[:-1]
                 has, sig = has[some[has]], sig[some[has]]
                 if len(has):
-                    step, sigs = sig.shape[1], sig.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [T.id_array(doc_ids[i:j][has]), pa.array(count[has].astype(np.int64)), pa.array(lsh.signature_id(sig)), pa.array([sigs[k : k + step] for k in range(0, len(sigs), step)], pa.binary())], schema=_SIGS
-                    )
+                    high, low = ([x[k].tobytes() for k in range(len(x))] for x in ((sig >> 8).astype(np.uint8), sig.astype(np.uint8)))
+                    yield pa.RecordBatch.from_arrays([T.id_array(doc_ids[i:j][has]), pa.array(count[has].astype(np.int64)), pa.array(lsh.signature_id(sig)), pa.array(high, pa.binary()), pa.array(low, pa.binary())], schema=_SIGS)
 
     return run
 
@@ -123,15 +121,15 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int =
 
     A document's bytes are parsed into dictionary phrases (Lempel and Ziv, 1977; :func:`phrases`): each is the shortest run of bytes that the document does not hold
     earlier. After an edit such a parse soon falls into step again. The set of the hashes of phrases, each with its successor, is summed up by the
-    least hash under each of ``permutations`` functions, 8 bits of it (as in LZJD, Raff & Nicholas 2017, but for the pairs). ``fingerprint`` is a 64-bit id of
-    that signature. Documents whose signatures share a band of ``rows`` values and agree in at least ``threshold`` of all values are linked; ``group_id`` is
+    least hash under each of ``permutations`` functions, 16 bits of it (as in LZJD, Raff & Nicholas 2017, but for the pairs). ``fingerprint`` is a 64-bit id of
+    that signature. Documents whose signatures share a band of ``rows`` values and agree in at least ``threshold`` of all (by 8 bits) are linked; ``group_id`` is
     the least doc_id of the connected component. The threshold lies below the agreement of documents that share half of their
     three-word shingles, and far above that of unrelated texts (0.01) and of a text with its own words shuffled (0.02).
 
     A null, empty or blank text has no row. Very long texts are read whole; the dictionary starts anew every
     2**20 bytes. Repeated rows give a row each and one group; null doc_ids have no row. Other columns are ignored. An empty table gives no rows.
     """
-    marked = cut(docs.select("doc_id", "text").mapInArrow(_sign(permutations), "doc_id bigint, n_phrases bigint, sid bigint, sig binary"))
+    marked = cut(docs.select("doc_id", "text").mapInArrow(_sign(permutations), "doc_id bigint, n_phrases bigint, sid bigint, sig binary, low binary"))
     return lsh.document_groups(marked, rows, threshold, np.uint8).select("doc_id", "n_phrases", F.col("sid").alias("fingerprint"), "group_id", "group_size")
 
 
