@@ -167,10 +167,12 @@ def document_groups(marked: DataFrame, rows: int, threshold: float, kind: type =
     documents, and repeated rows of a doc_id count once.
     """
     some = marked.where("doc_id IS NOT NULL")
-    sigs = cut(some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("sig", "low") if c in some.columns]))
-    comp = cut(signature_groups(sigs, rows, threshold, kind))
+    sigs = some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("sig", "low") if c in some.columns])
+    sigs = cut(sigs.withColumn("num", F.monotonically_increasing_id()))  # small numbers stand for the ids below: they take fewer bytes in a shuffle
+    comp = signature_groups(sigs.drop("sid").withColumnRenamed("num", "sid"), rows, threshold, kind)
+    comp = cut(comp.join(sigs.select(F.col("num").alias("id"), "sid"), "id").select("sid", "component"))
     drop_scratch(sigs)
-    flat = some.drop("sig", "low").join(comp.select(F.col("id").alias("sid"), "component"), "sid", "left")
-    flat = flat.withColumn("component", F.coalesce("component", "sid"))
+    flat = some.drop("sig", "low").join(comp, "sid", "left")
+    flat = flat.withColumn("component", F.coalesce(F.col("component") * 2, F.col("sid").bitwiseOR(1)))
     heads = flat.select("component", "doc_id").distinct().groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return flat.join(heads, "component").drop("component")
