@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_BYTES, EDGE_BYTES, PROPERTY_BYTES = 78, 87, 64
 GROWTH = {"linear": 1.2, "exponential": 2.0, "cyclical": 1.5, "stable": 1.1, "unpredictable": 2.5}
-#: Edges, embeddings and properties per node for kinds of work.
-WORKLOADS = {"social": (10.0, 0.1, 5.0), "knowledge": (4.0, 0.5, 8.0), "recommendation": (20.0, 1.0, 3.0), "general": (5.0, 0.2, 4.0)}
+#: For kinds of work: properties per node beyond one, in tenths, and the share of nodes that have an embedding.
+WORKLOADS = {"social_network": (1, 0.1), "knowledge_graph": (8, 0.3), "recommendation": (3, 0.8), "ai_training": (2, 1.0), "real_time_analytics": (1, 0.2), "batch_processing": (5, 0.1)}
+#: Nodes, edges, kind of work and dimension of usual sizes.
+PRESETS = {
+    f"{kind}_{size}": (nodes, edges, kind, dim)
+    for kind, dim, small, large in (("social_network", 128, (100_000, 500_000), (1_000_000, 10_000_000)), ("knowledge_graph", 256, (50_000, 500_000), (500_000, 5_000_000)), ("ai_training", 768, (100_000, 1_000_000), (1_000_000, 10_000_000)), ("recommendation", 512, (200_000, 2_000_000), (2_000_000, 20_000_000)))
+    for size, (nodes, edges) in (("small", small), ("large", large))
+}
 
 
 def pool_size(expected: int, headroom: float = 2.0, safety: float = 1.5) -> int:
@@ -19,14 +25,27 @@ def pool_size(expected: int, headroom: float = 2.0, safety: float = 1.5) -> int:
     return 1 << (need - 1).bit_length() if need > 1 else 1
 
 
-def plan(expected_nodes: int, workload: str = "general", dim: int = 128) -> dict:
-    """Pool sizes and bytes for a number of nodes and a kind of work."""
-    edges, embeddings, properties = WORKLOADS[workload]
-    pools = {"nodes": pool_size(expected_nodes), "edges": pool_size(int(expected_nodes * edges)), "embeddings": pool_size(int(expected_nodes * embeddings)), "properties": pool_size(int(expected_nodes * properties))}
+def plan(expected_nodes: int, expected_edges: int, workload: str = "knowledge_graph", dim: int = 128) -> dict:
+    """Pool sizes and bytes for numbers of nodes and edges and a kind of work."""
+    properties, share = WORKLOADS[workload]
+    pools = {"nodes": pool_size(expected_nodes), "edges": pool_size(expected_edges), "embeddings": pool_size(math.floor(round(expected_nodes * share, 6))), "properties": pool_size(expected_nodes * (1 + properties))}
     pools["bytes"] = pools["nodes"] * NODE_BYTES + pools["edges"] * EDGE_BYTES + pools["embeddings"] * (dim * 4 + 9) + pools["properties"] * PROPERTY_BYTES
     return pools
 
 
+def plans(sizes: DataFrame) -> DataFrame:
+    """``sizes(nodes, edges)`` with the pools of every kind of work: ``(nodes, edges, workload, node_pool, edge_pool, embedding_pool, property_pool)``."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("workload"), F.lit(p).alias("p"), F.lit(s).alias("s")) for k, (p, s) in WORKLOADS.items()]))
+    d = sizes.select("nodes", "edges", kinds.alias("x"))
+
+    def pool(n: Column) -> Column:
+        need = (n * 3).cast("long")
+        return F.when(need <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(need.cast("double"))))).cast("long")
+
+    with_vector = F.floor(F.round(F.col("nodes") * F.col("x.s"), 6))
+    return d.select("nodes", "edges", "x.workload", pool(F.col("nodes")).alias("node_pool"), pool(F.col("edges")).alias("edge_pool"), pool(with_vector).alias("embedding_pool"), pool(F.col("nodes") * (F.col("x.p") + 1)).alias("property_pool"))
+
+
 def pool_sizes(counts: DataFrame, column: str = "n") -> DataFrame:
     """``counts`` with ``pool``: :func:`pool_size` of a count column."""
     need = F.ceil(F.col(column) * F.lit(3.0))

@@ -16,12 +16,14 @@ NODE_CAPACITY, EDGE_CAPACITY, EMBEDDING_CAPACITY = 10_000, 50_000, 1_000
 class Graph:
     """``nodes(id, label, ...)``, ``edges(src, dst, label, ...)`` and, where there are any, ``embeddings(node_id, vector)``. Immutable: every change is a new graph.
 
-    A boolean column ``active`` on either frame marks soft deletes; rows without it count as live.
+    A boolean column ``active`` on either frame marks soft deletes; rows without it count as live. ``simple`` says that no two rows of
+    edges are equal in all columns; else equal rows are parallel edges.
     """
 
     nodes: DataFrame
     edges: DataFrame
     embeddings: DataFrame | None = None
+    simple: bool = False
 
     @staticmethod
     def from_rows(spark: SparkSession, nodes: list[tuple], edges: list[tuple], node_schema: str = "id bigint, label string", edge_schema: str = "src bigint, dst bigint, label string") -> Graph:
@@ -119,6 +121,20 @@ class Graph:
         nodes = self.nodes.join(gone, "id", "left").withColumn("active", live & F.col("_gone").isNull()).drop("_gone")
         return replace(self, nodes=nodes)
 
+    def delete_edges(self, pairs: DataFrame, label: str | None = None) -> Graph:
+        """Soft delete of all edges from ``src`` to ``dst`` of ``pairs(src, dst)``, of one label if it is given."""
+        gone = pairs.select("src", "dst").distinct().withColumn("_gone", F.lit(True))
+        live: Column = F.col("active") if "active" in self.edges.columns else F.lit(True)
+        hit = F.col("_gone").isNotNull() if label is None else F.col("_gone").isNotNull() & (F.col("label") == label)
+        edges = self.edges.join(gone, ["src", "dst"], "left").withColumn("active", live & ~F.coalesce(hit, F.lit(False))).select(*self.edges.columns, *([] if "active" in self.edges.columns else ["active"]))
+        return replace(self, edges=edges)
+
+    def add_embeddings(self, rows: DataFrame) -> Graph:
+        """``rows(node_id, vector)`` appended; a node that has a vector already gets the new one."""
+        new = rows.select("node_id", "vector")
+        old = self.embeddings.join(new.select("node_id"), "node_id", "left_anti").select("node_id", "vector").unionByName(new) if self.embeddings is not None else new
+        return replace(self, embeddings=old)
+
     def embedding(self, node_id: int) -> list[float] | None:
         """The vector of a node, or None."""
         if self.embeddings is None:

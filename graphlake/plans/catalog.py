@@ -316,12 +316,12 @@ def modularity(spark, d):
     return analytics.modularity(e, c).select(F.round("modularity", 9).alias("modularity"))
 
 
-_TRI = "e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS u, greatest(a.user_id, b.user_id) AS v FROM events a JOIN events b ON date_trunc('minute', a.ts) = date_trunc('minute', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id)"
+_TRI = "e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS u, greatest(a.user_id, b.user_id) AS v FROM events a JOIN events b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id)"
 
 
 @query(f"WITH {_TRI} SELECT count(*) AS triangles FROM e a JOIN e b ON b.u = a.v JOIN e c ON c.u = a.u AND c.v = b.v")
 def triangles(spark, d):
-    v = tables.table(spark, d, "events").select("user_id", "event_type", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("h")).distinct()
+    v = tables.table(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).distinct()
     e = v.join(v.withColumnRenamed("user_id", "other"), ["event_type", "h"]).where("user_id < other").select(F.col("user_id").alias("u"), F.col("other").alias("v")).distinct()
     return analytics.triangles(e)
 
@@ -422,12 +422,25 @@ def relation_histogram(spark, d):
     return kg.relation_histogram(kg.parse_triples(_lines(spark, d)).where("error IS NULL"), 10)
 
 
-@query("SELECT CASE WHEN regexp_matches(lower(p_name), 'drug|inhibitor|gemcitabine|therapy|treatment|agent') THEN 'drug' ELSE 'other' END AS entity_group, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Drug ' || p_name ELSE p_name END AS p_name FROM part) GROUP BY 1")
+@query("SELECT CASE WHEN regexp_matches(lower(p_name), 'drug|therapy|treatment') THEN 'drug' ELSE 'other' END AS entity_group, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Drug ' || p_name ELSE p_name END AS p_name FROM part) GROUP BY 1")
 def entity_groups(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Drug "), "p_name")).otherwise(F.col("p_name"))
     return tables.table(spark, d, "part").select(kg.group_of(name).alias("entity_group")).groupBy("entity_group").agg(F.count("*").alias("n"))
 
 
+_KEYWORDS = ("Cancer", "tumor", "carcinoma", "gene", "protein", "enzyme", "drug", "therapy", "treatment", "pathway", "signaling", "symptom", "pain", "jaundice", "inhibitor", "kinase", "fatigue", "disease")
+
+
+@query("WITH n AS (SELECT lower(p_brand || ' ' || [" + ", ".join(f"'{k}'" for k in _KEYWORDS) + f"""][p_partkey % {len(_KEYWORDS)} + 1] || CASE WHEN p_partkey % 5 = 0 THEN ' of pain' ELSE '' END) AS name FROM part)
+SELECT CASE WHEN name LIKE '%cancer%' OR name LIKE '%tumor%' OR name LIKE '%carcinoma%' THEN 'disease' WHEN name LIKE '%gene%' OR name LIKE '%protein%' OR name LIKE '%enzyme%' THEN 'gene'
+ WHEN name LIKE '%drug%' OR name LIKE '%therapy%' OR name LIKE '%treatment%' THEN 'drug' WHEN name LIKE '%pathway%' OR name LIKE '%signaling%' THEN 'pathway'
+ WHEN name LIKE '%symptom%' OR name LIKE '%pain%' OR name LIKE '%jaundice%' THEN 'symptom' ELSE 'other' END AS entity_group, name, count(*) AS n FROM n GROUP BY 1, 2""")
+def entity_groups_all(spark, d):
+    word = F.element_at(F.array(*[F.lit(k) for k in _KEYWORDS]), (F.col("p_partkey") % len(_KEYWORDS) + 1).cast("int"))
+    name = F.lower(F.concat("p_brand", F.lit(" "), word, F.when(F.col("p_partkey") % 5 == 0, " of pain").otherwise("")))
+    return tables.table(spark, d, "part").select(name.alias("name")).groupBy(kg.group_of("name").alias("entity_group"), "name").agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'http://x/n/' || n_nationkey AS subject, 'http://x/name' AS predicate, n_name AS object FROM nation")
 def ntriples(spark, d):
     n = tables.table(spark, d, "nation").select(F.concat(F.lit("<http://x/n/"), "n_nationkey", F.lit('> <http://x/name> "'), "n_name", F.lit('"@en .')).alias("line"))
@@ -486,6 +499,9 @@ _cy("cy_recommend_anti", "MATCH (a:Supplier)-[:LOCATED_IN]->(n:Nation)<-[:LOCATE
 _cy("cy_having_topk", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WITH c.name AS name, count(r) AS orders WHERE orders > 10 RETURN name, orders ORDER BY orders DESC, name LIMIT 5", "SELECT c_name AS name, count(*) AS orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name HAVING count(*) > 10 ORDER BY orders DESC, name LIMIT 5", ("Customer", "Order"), ("PLACED",))
 _cy("cy_varlen", "MATCH (s:Supplier)-[:LOCATED_IN|IN_REGION*1..2]->(x) RETURN s.name AS supplier, x.name AS place", "SELECT s_name AS supplier, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", *_GEO)
 _cy("cy_shortest", "MATCH p = shortestPath((a:Region {name: 'ASIA'})-[:LOCATED_IN|IN_REGION*]-(b:Supplier)) RETURN b.name AS supplier, length(p) AS hops", "SELECT s_name AS supplier, 2::BIGINT AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", *_GEO)
+_cy("cy_pattern_or", "MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation) WHERE c.amount > 9000 OR (n)-[:IN_REGION]->(:Region {name: 'ASIA'}) RETURN c.name AS name", "SELECT c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000 OR r_name = 'ASIA'", *_GEO)
+_cy("cy_shortest_bounded", "MATCH p = shortestPath((a:Region {name: 'ASIA'})-[:LOCATED_IN|IN_REGION*..3]-(b)) RETURN b.name AS name, length(p) AS hops", "SELECT n_name AS name, 1::BIGINT AS hops FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' UNION ALL SELECT x.name, 2 FROM (SELECT c_name AS name, c_nationkey AS k FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier) x JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", *_GEO)
+_cy("cy_parallel_edges", "MATCH (a:Order)-[x:CONTAINS]->(p:Part)<-[y:CONTAINS]-(b:Order) WHERE a.amount > 300000 RETURN a.name AS priority, count(y) AS n", "SELECT o_orderpriority AS priority, sum(m.n - 1)::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1) m ON m.k = l_partkey WHERE o_totalprice > 300000 GROUP BY 1", ("Order", "Part"), ("CONTAINS",))
 _cy("cy_distinct", "MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation) RETURN DISTINCT n.name AS nation ORDER BY nation", "SELECT DISTINCT n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey", *_GEO)
 _cy("cy_theta", "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) WHERE a.name < b.name RETURN a.name AS a, b.name AS b, r.name AS region", "SELECT a.n_name AS a, b.n_name AS b, r_name AS region FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name JOIN region ON r_regionkey = a.n_regionkey", *_GEO)
 _cy("cy_edge_property", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE r.weight > 400000 AND c.amount < 0 RETURN c.name AS name, r.weight AS price", "SELECT c_name AS name, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000 AND c_acctbal < 0", ("Customer", "Order"), ("PLACED",))
@@ -525,6 +541,14 @@ def gnn_attention(spark, d):
     return _checksum(gnn.attention(*_ring(spark, d)))
 
 
+@query("SELECT 25 - n_nationkey::BIGINT - 1 AS n, (n_nationkey + 1)::BIGINT AS hops FROM nation WHERE n_nationkey < 24")
+def cy_unbounded(spark, d):
+    """Paths along a chain of all nations in order of their keys, of any length."""
+    nation = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("Nation").alias("label"))
+    chain = Graph(nation, nation.where("id < 24").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("NEXT").alias("label")), simple=True)
+    return cypher.query(chain, "MATCH p = (a)-[:NEXT*]->(b) RETURN length(p) AS hops, count(b) AS n")
+
+
 # --- capacity, trends, streams ----------------------------------------------------------------
 
 
@@ -533,6 +557,16 @@ def capacity_pools(spark, d):
     return capacity.pool_sizes(tables.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n")))
 
 
+_POOL = "CASE WHEN {n} * 3 <= 1 THEN 1 ELSE power(2, ceil(log2(({n} * 3)::DOUBLE)))::BIGINT END"
+
+
+@query(f"""WITH s AS (SELECT o_custkey % 7 AS k, count(DISTINCT o_custkey) AS nodes, count(*) AS edges FROM orders GROUP BY 1), w(workload, p, r) AS (VALUES ('social_network', 1, 0.1), ('knowledge_graph', 8, 0.3), ('recommendation', 3, 0.8), ('ai_training', 2, 1.0), ('real_time_analytics', 1, 0.2), ('batch_processing', 5, 0.1))
+SELECT nodes, edges, workload, {_POOL.format(n='nodes')} AS node_pool, {_POOL.format(n='edges')} AS edge_pool, {_POOL.format(n='floor(nodes * r)::BIGINT')} AS embedding_pool, {_POOL.format(n='(nodes * (1 + p))')} AS property_pool FROM s, w""")
+def capacity_plan(spark, d):
+    sizes = tables.table(spark, d, "orders").groupBy((F.col("o_custkey") % 7).alias("k")).agg(F.count_distinct("o_custkey").alias("nodes"), F.count("*").alias("edges"))
+    return capacity.plans(sizes)
+
+
 @query("SELECT event_type, count(*) AS n, round(regr_slope(value, event_id), 9) AS slope, round(regr_r2(value, event_id), 6) AS r2, round(stddev_pop(value) / avg(value), 6) AS cv FROM events GROUP BY 1")
 def growth_trend(spark, d):
     t = capacity.trend(tables.table(spark, d, "events"), "event_id", "value", ["event_type"])
@@ -562,7 +596,7 @@ def _stream_folder(spark, d):
     import os
 
     path = f"{d}/events.parquet"
-    return path if os.path.isdir(path) else f"{d}/events*.parquet"
+    return path if os.path.isdir(path) else f"{d}/events.parque[t]"  # a pattern of one name: file streams take folders and patterns only
 
 
 @query(f"WITH {_PURCHASED} SELECT community, size, rank FROM (SELECT (src % 5)::BIGINT AS community, count(DISTINCT src) AS size, row_number() OVER (ORDER BY count(DISTINCT src) DESC, src % 5) ::INT AS rank FROM purchased GROUP BY 1, src % 5)")

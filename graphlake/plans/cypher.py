@@ -1,7 +1,7 @@
 """A Cypher subset, compiled to DataFrame operations.
 
 ``MATCH`` (several, undirected, alternatives, variable length), ``WHERE`` (comparisons, AND, OR, NOT, NOT pattern), ``WITH`` and
-``RETURN`` (DISTINCT, count, properties, type, length, nodes), ``shortestPath``, ``ORDER BY``, ``LIMIT`` and ``CREATE``.
+``RETURN`` (DISTINCT, count, properties, type, length, nodes), ``shortestPath``, ``ORDER BY``, ``LIMIT``, ``CREATE`` and the definition of node and relationship tables.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graphlake.errors import ParseError
 from graphlake.graph import Graph
 from graphlake.operators.traversal import bfs_from_each, undirected
+from graphlake.schema import Property, Registry, Schema
 from graphlake.session import cut
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?(?!\w))|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<op>\.\.|<>|<=|>=|[-()\[\]{}:,.|*=<>+/]))""")
@@ -284,11 +285,12 @@ class Compiler:
 
     def __init__(self, graph: Graph):
         self.g = graph
-        edges = graph.live_edges
-        if "edge_id" not in edges.columns:
-            edges = edges.withColumn("edge_id", F.xxhash64(*edges.columns))
-        self.edges = edges
+        self.edges = graph.live_edges
+        self.own_ids = "edge_id" not in self.edges.columns
+        if self.own_ids:
+            self.edges = self.edges.withColumn("edge_id", F.xxhash64(*self.edges.columns))
         self.nodes = graph.live_nodes
+        self.tags = itertools.count()
 
     def run(self, q: Query) -> DataFrame:
         rows: DataFrame | None = None
@@ -337,11 +339,15 @@ class Compiler:
             df = df.where(F.col(k) == self.value(v))
         return df.select(F.struct(*df.columns).alias(alias))
 
-    def _rels(self, r: Rel, alias: str) -> DataFrame:
-        """``(_from, _to, alias)`` in the direction of the pattern."""
+    def _rels(self, r: Rel, alias: str, apart: bool = False) -> DataFrame:
+        """``(_from, _to, alias)`` in the direction of the pattern. With ``apart`` equal rows have ids of their own."""
         e = self.edges
         if r.types:
             e = e.where(F.col("label").isin(*r.types))
+        if apart and self.own_ids and not self.g.simple:
+            names = e.drop("edge_id").columns
+            e = e.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+            e = e.select(*names, F.xxhash64(*names, "_nth").alias("edge_id"))
         for k, v in r.props:
             e = e.where(F.col(k) == self.value(v))
         s = F.struct(*e.columns).alias(alias)
@@ -351,34 +357,44 @@ class Compiler:
     def match(self, rows: DataFrame | None, p: Pattern) -> DataFrame:
         if p.shortest:
             return self.shortest(rows, p)
-        first = p.nodes[0]
-        rows = self._bind(rows, first)
-        used: list[Column] = []
-        for at, (r, nxt) in enumerate(zip(p.rels, p.nodes[1:], strict=True)):
-            here = F.col(f"`{p.nodes[at].var}`.id")
-            if r.low is None:
-                rel = self._rels(r, r.var)
-                rows = rows.join(rel, here == F.col("_from")).drop("_from")
-                for u in used:
-                    rows = rows.where(~F.array_contains(u, F.col(f"`{r.var}`.edge_id")))
-                used.append(F.array(F.col(f"`{r.var}`.edge_id")))
-                self.kinds[r.var] = "rel"
-            else:
-                rows = self._var_length(rows, r, here, used)
-                used.append(F.col(f"`{r.var}`"))
-                self.kinds[r.var] = "path"
-            to = F.col("_to")
-            if nxt.var in rows.columns:
-                rows = rows.where(F.col(f"`{nxt.var}`.id") == to).drop("_to")
-                rows = self._filtered(rows, nxt)
-            else:
-                rows = rows.join(self._node(nxt, nxt.var), to == F.col(f"`{nxt.var}`.id")).drop("_to")
-            self.kinds[nxt.var] = "node"
+        bound = [i for i, n in enumerate(p.nodes) if rows is not None and n.var in rows.columns]
+        start = bound[0] if bound else 0  # a walk begins at a variable that has a value, so that nothing is crossed with all nodes
+        rows = self._bind(rows, p.nodes[start])
+        apart = len(p.rels) > 1 or any(r.low is not None for r in p.rels)
+        used: dict[int, Column] = {}
+        for k in range(start, len(p.rels)):
+            rows = self._step(rows, p.rels[k], p.nodes[k], p.nodes[k + 1], used, k, apart)
+        for k in range(start - 1, -1, -1):
+            back = replace(p.rels[k], direction={"in": "out", "out": "in"}.get(p.rels[k].direction, "both"))
+            rows = self._step(rows, back, p.nodes[k + 1], p.nodes[k], used, k, apart)
+            if back.low is not None:
+                rows = rows.withColumn(back.var, F.reverse(F.col(f"`{back.var}`")))
         if p.path:
-            rows = rows.withColumn(p.path, F.concat(*used) if used else F.array().cast("array<bigint>"))
+            rows = rows.withColumn(p.path, F.concat(*[used[k] for k in sorted(used)]) if used else F.array().cast("array<bigint>"))
             self.kinds[p.path] = "path"
         return rows
 
+    def _step(self, rows: DataFrame, r: Rel, here: Node, nxt: Node, used: dict[int, Column], k: int, apart: bool) -> DataFrame:
+        """One relationship further, from a node that has a value to the next."""
+        at = F.col(f"`{here.var}`.id")
+        if r.low is None:
+            rows = rows.join(self._rels(r, r.var, apart), at == F.col("_from")).drop("_from")
+            for u in used.values():
+                rows = rows.where(~F.array_contains(u, F.col(f"`{r.var}`.edge_id")))
+            used[k] = F.array(F.col(f"`{r.var}`.edge_id"))
+            self.kinds[r.var] = "rel"
+        else:
+            rows = self._var_length(rows, r, at, list(used.values()))
+            used[k] = F.col(f"`{r.var}`")
+            self.kinds[r.var] = "path"
+        to = F.col("_to")
+        if nxt.var in rows.columns:
+            rows = self._filtered(rows.where(F.col(f"`{nxt.var}`.id") == to).drop("_to"), nxt)
+        else:
+            rows = rows.join(self._node(nxt, nxt.var), to == F.col(f"`{nxt.var}`.id")).drop("_to")
+        self.kinds[nxt.var] = "node"
+        return rows
+
     def _filtered(self, rows: DataFrame, n: Node) -> DataFrame:
         if n.label:
             rows = rows.where(F.col(f"`{n.var}`.label") == n.label)
@@ -397,7 +413,7 @@ class Compiler:
         """One join a step; the edges of the path so far are an array column, and none comes twice. Without an upper bound, steps go on until no path is left to extend."""
         cur = rows.withColumn(r.var, F.array().cast("array<bigint>")).withColumn("_to", here)
         found = [cur] if r.low == 0 else []
-        step = self._rels(r, "_e").select(F.col("_from"), F.col("_to").alias("_next"), F.col("_e.edge_id").alias("_id"))
+        step = self._rels(r, "_e", True).select(F.col("_from"), F.col("_to").alias("_next"), F.col("_e.edge_id").alias("_id"))
         for k in itertools.count(1) if r.high is None else range(1, r.high + 1):
             nxt = cur.join(step, F.col("_to") == F.col("_from")).where(~F.array_contains(F.col(f"`{r.var}`"), F.col("_id")))
             for u in used:
@@ -417,7 +433,9 @@ class Compiler:
     def shortest(self, rows: DataFrame | None, p: Pattern) -> DataFrame:
         """Least distances from all matching starts at once; the length is bound to the path's name."""
         a, b, r = p.nodes[0], p.nodes[-1], p.rels[0]
-        rows = self._bind(self._bind(rows, a), b)
+        if rows is not None and a.var not in rows.columns and b.var in rows.columns:  # begin at the end that has a value
+            a, b, r = b, a, replace(r, direction={"in": "out", "out": "in"}.get(r.direction, "both"))
+        rows = self._bind(rows, a)
         e = self.edges.where(F.col("label").isin(*r.types)) if r.types else self.edges
         e = e.select("src", "dst")
         if r.direction == "in":
@@ -427,31 +445,57 @@ class Compiler:
         name = p.path or f"_p{len(self.kinds)}"
         starts = rows.select(F.col(f"`{a.var}`.id").alias("id")).distinct()
         d = bfs_from_each(e, starts, r.high).select(F.col("start").alias("_start"), F.col("id").alias("_end"), F.col("distance").cast("long").alias(name))
+        d = d.where(F.col(name) >= (r.low if r.low is not None else 1))
         self.kinds[name] = "length"
-        out = rows.join(d, (F.col(f"`{a.var}`.id") == F.col("_start")) & (F.col(f"`{b.var}`.id") == F.col("_end"))).drop("_start", "_end")
-        return out.where(F.col(name) >= (r.low if r.low is not None else 1))
+        self.kinds[b.var] = "node"
+        on = F.col(f"`{a.var}`.id") == F.col("_start")
+        if b.var in rows.columns:
+            return self._filtered(rows.join(d, on & (F.col(f"`{b.var}`.id") == F.col("_end"))), b).drop("_start", "_end")
+        return rows.join(d, on).join(self._node(b, b.var), F.col("_end") == F.col(f"`{b.var}`.id")).drop("_start", "_end")
 
     def where(self, rows: DataFrame, e) -> DataFrame:
         if e[0] == "and":
             return self.where(self.where(rows, e[1]), e[2])
         if e[0] == "pattern" or e[0] == "not" and e[1][0] == "pattern":
-            p = e[1] if e[0] == "pattern" else e[1][1]
-            ends = [n.var for n in p.nodes if n.var in rows.columns]
-            if not ends:
-                raise ParseError("a pattern in WHERE needs a bound variable")
-            sub = Compiler(self.g)
-            sub.kinds = {}
-            fresh = tuple(replace(n, var=f"_s{i}") for i, n in enumerate(p.nodes))
-            hit = sub.match(None, replace(p, nodes=fresh))
-            keys = [(F.col(f"`_s{i}`.id").alias(f"_k{i}"), n.var) for i, n in enumerate(p.nodes) if n.var in ends]
-            hit = hit.select(*[k for k, _ in keys]).distinct()
-            cond = None
-            for i, n in enumerate(p.nodes):
-                if n.var in ends:
-                    c = F.col(f"`{n.var}`.id") == F.col(f"_k{i}")
-                    cond = c if cond is None else cond & c
+            hit, cond = self._ends(rows, e[1] if e[0] == "pattern" else e[1][1])
             return rows.join(hit, cond, "left_semi" if e[0] == "pattern" else "left_anti")
-        return rows.where(self.value(e))
+        columns = rows.columns
+        rows, e = self._flags(rows, e)
+        return rows.where(self.value(e)).select(*[F.col(f"`{c}`") for c in columns])
+
+    def _ends(self, rows: DataFrame, p: Pattern) -> tuple[DataFrame, Column]:
+        """The bound ends, once each, of all matches of a pattern in WHERE, and the condition that joins them to ``rows``."""
+        ends = [n.var for n in p.nodes if n.var in rows.columns]
+        if not ends:
+            raise ParseError("a pattern in WHERE needs a bound variable")
+        sub = Compiler(self.g)
+        sub.kinds = {}
+        fresh = tuple(replace(n, var=f"_s{i}") for i, n in enumerate(p.nodes))
+        hit = sub.match(None, replace(p, nodes=fresh))
+        tag = f"_k{next(self.tags)}_"
+        hit = hit.select(*[F.col(f"`_s{i}`.id").alias(f"{tag}{i}") for i, n in enumerate(p.nodes) if n.var in ends]).distinct()
+        cond = None
+        for i, n in enumerate(p.nodes):
+            if n.var in ends:
+                c = F.col(f"`{n.var}`.id") == F.col(f"{tag}{i}")
+                cond = c if cond is None else cond & c
+        return hit, cond
+
+    def _flags(self, rows: DataFrame, e) -> tuple[DataFrame, tuple]:
+        """Patterns within a larger expression become columns that say whether they match."""
+        if not isinstance(e, tuple):
+            return rows, e
+        if e[0] == "pattern":
+            hit, cond = self._ends(rows, e[1])
+            flag = f"_hit{next(self.tags)}"
+            keys = hit.columns
+            rows = rows.join(hit.withColumn(flag, F.lit(True)), cond, "left").drop(*keys).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+            return rows, ("var", flag)
+        out = []
+        for x in e:
+            rows, x = self._flags(rows, x)
+            out.append(x)
+        return rows, tuple(out)
 
     def project(self, rows: DataFrame, items: list, distinct: bool) -> DataFrame:
         if any(_aggregates(e) for e, _ in items):
@@ -552,3 +596,28 @@ def _rows(spark, rows: list[dict], like: DataFrame) -> DataFrame:
         fields.append(T.StructField(n, like.schema[n].dataType if n in like.columns else kinds[type(some)]))
     values = [tuple(float(r[f.name]) if isinstance(f.dataType, T.DoubleType) and r.get(f.name) is not None else r.get(f.name) for f in fields) for r in rows]
     return spark.createDataFrame(values, T.StructType(fields))
+
+
+_TABLE = re.compile(r"\s*CREATE\s+(NODE|REL)\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s*\((.*)\)\s*;?\s*$", re.I | re.S)
+_KINDS = {"int64": "integer", "int32": "integer", "int": "integer", "serial": "integer", "double": "float", "float": "float", "string": "string", "bool": "boolean", "boolean": "boolean"}
+
+
+def define(registry: Registry, text: str) -> Registry:
+    """``registry`` with the table of a ``CREATE NODE TABLE name(prop TYPE, ..., PRIMARY KEY (prop))`` or ``CREATE REL TABLE name(FROM a TO b, prop TYPE, ...)``. A primary key is required and indexed."""
+    m = _TABLE.match(text)
+    if not m:
+        raise ParseError("expected CREATE NODE TABLE or CREATE REL TABLE")
+    keys = {k.strip() for k in re.findall(r"PRIMARY\s+KEY\s*\(([^)]*)\)", m[3], re.I)}
+    properties = []
+    for part in re.sub(r",?\s*PRIMARY\s+KEY\s*\([^)]*\)", "", m[3], flags=re.I).split(","):
+        words = part.split()
+        if not words or words[0].lower() == "from" and m[1].lower() == "rel":
+            continue
+        kind = words[1].lower() if len(words) > 1 else ""
+        vector = re.fullmatch(r"(float|double)\[\d*\]", kind)
+        if not vector and kind not in _KINDS:
+            raise ParseError(f"unknown type {part.strip()!r}")
+        properties.append(Property(words[0], "vector" if vector else _KINDS[kind], required=words[0] in keys, indexed=words[0] in keys))
+    if keys - {p.name for p in properties}:
+        raise ParseError("a primary key is one of the properties")
+    return registry.register(Schema(m[2], tuple(properties)))

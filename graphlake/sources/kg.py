@@ -9,12 +9,13 @@ from graphlake.graph import EDGE_CAPACITY, NODE_CAPACITY
 from graphlake.operators.prefix import running_total
 
 HEADER_WORDS = ("subject", "entity1", "head", "source", "sentence")
+#: Groups of entities in order of precedence, with the parts of names that tell them.
 GROUPS = (
-    ("disease", ("cancer", "disease", "tumor", "carcinoma", "syndrome", "diabetes", "pancreatitis")),
-    ("gene", ("gene", "protein", "kras", "tp53", "mutation", "receptor", "kinase")),
-    ("drug", ("drug", "inhibitor", "gemcitabine", "therapy", "treatment", "agent")),
-    ("pathway", ("pathway", "signaling", "cascade", "metabolism")),
-    ("symptom", ("symptom", "pain", "fatigue", "loss", "nausea")),
+    ("disease", ("tumor", "cancer", "carcinoma")),
+    ("gene", ("enzyme", "gene", "protein")),
+    ("drug", ("therapy", "drug", "treatment")),
+    ("pathway", ("signaling", "pathway")),
+    ("symptom", ("jaundice", "pain", "symptom")),
 )
 
 

@@ -55,4 +55,5 @@ def edges(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str, node_labels: tuple[str, ...] = (), edge_labels: tuple[str, ...] = ()) -> Graph:
-    return Graph(nodes(spark, sf_dir, *node_labels), edges(spark, sf_dir, *edge_labels))
+    simple = bool(edge_labels) and "CONTAINS" not in edge_labels  # an order may hold equal lines
+    return Graph(nodes(spark, sf_dir, *node_labels), edges(spark, sf_dir, *edge_labels), simple=simple)

@@ -257,8 +257,8 @@ def test_knowledge_graph(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"nodes":[{"id":"a"}],\n"edges":[{"source":"a","target":"b"}]}')
     n, e = kg.read_json_graph(spark, str(tmp_path / "g.json"))
     assert n.first().id == "a" and e.first().target == "b"
-    names = spark.createDataFrame([("Pancreatic cancer",), ("KRAS gene",), ("gemcitabine",), ("thing",)], "name string")
-    assert [r.g for r in names.select(kg.group_of("name").alias("g")).collect()] == ["disease", "gene", "drug", "other"]
+    names = spark.createDataFrame([("Pancreatic cancer",), ("KRAS gene",), ("new therapy",), ("thing",), ("pain inhibitor",)], "name string")
+    assert [r.g for r in names.select(kg.group_of("name").alias("g")).collect()] == ["disease", "gene", "drug", "other", "symptom"]
 
 
 SOCIAL_N = [(1, "Person", "Ann", 30), (2, "Person", "Bob", 28), (3, "Person", "Cy", 35), (4, "Movie", "Up", None), (5, "Movie", "Jaws", None)]
@@ -333,7 +333,9 @@ def test_exports_and_service(spark, g):
 
 def test_capacity():
     assert capacity.pool_size(1000) == 4096 and capacity.pool_size(0) == 1 and capacity.pool_size(1) == 4
-    assert capacity.plan(1000)["nodes"] == 4096
+    p = capacity.plan(1000, 5000, "recommendation")
+    assert (p["nodes"], p["edges"], p["embeddings"], p["properties"]) == (4096, 16384, 4096, 16384)
+    assert set(capacity.WORKLOADS) >= {w for _, _, w, _ in capacity.PRESETS.values()} and len(capacity.PRESETS) == 8
 
 
 def test_running_total_spreads_a_hot_group(spark):
@@ -387,3 +389,33 @@ def test_edge_csv_and_embeddings(spark, tmp_path, g):
         S.check_dimension(0)
     with pytest.raises(ValueError):
         S.check_rate(1.5)
+
+
+def test_cypher_plans_hold_no_product(spark, sf):
+    from graphlake.plans import catalog
+
+    for name in [n for n in catalog.QUERIES if n.startswith("cy_")]:
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and "Cartesian" not in plan, name
+
+
+def test_cypher_tables_and_walks_from_the_middle(spark):
+    r = cypher.define(S.Registry(), "CREATE NODE TABLE Person(id INT64, name STRING, score DOUBLE, PRIMARY KEY(id))")
+    r = cypher.define(r, "CREATE REL TABLE KNOWS(FROM Person TO Person, since INT64)")
+    assert [(p.name, p.type, p.required) for p in r.get("Person").properties] == [("id", "integer", True), ("name", "string", False), ("score", "float", False)]
+    assert [p.name for p in r.get("KNOWS").properties] == ["since"]
+    with pytest.raises(errors.ParseError):
+        cypher.define(r, "CREATE NODE TABLE X(id WHAT)")
+    g = Graph.from_rows(spark, [(i, "N") for i in range(1, 7)], [(1, 2, "R"), (1, 2, "R"), (2, 3, "R"), (3, 4, "S"), (5, 3, "R")])
+    two = cypher.query(g, "MATCH (a)-[x:R]->(b)<-[y:R]-(c) WHERE id(b) = 2 RETURN id(a) AS a, id(c) AS c").collect()
+    assert [tuple(r) for r in two] == [(1, 1), (1, 1)]
+    middle = cypher.query(g, "MATCH (b)-[:S]->(d) MATCH (a)-[:R]->(b)-[:S]->(e) RETURN id(a) AS a, id(b) AS b, id(e) AS e").collect()
+    assert sorted(tuple(r) for r in middle) == [(2, 3, 4), (5, 3, 4)]
+    back = cypher.query(g, "MATCH (b)-[:S]->(d) MATCH p = (a)-[:R*1..2]->(b) RETURN id(a) AS a, length(p) AS n").collect()
+    assert sorted(tuple(r) for r in back) == [(1, 2), (1, 2), (2, 1), (5, 1)]
+    end = cypher.query(g, "MATCH (b)-[:S]->(d) MATCH p = shortestPath((a)-[:R*]->(b)) RETURN id(a) AS a, length(p) AS n").collect()
+    assert sorted(tuple(r) for r in end) == [(1, 2), (2, 1), (5, 1)]
+    left = g.delete_edges(spark.createDataFrame([(1, 2)], "src bigint, dst bigint"))
+    assert left.live_edges.count() == 3
+    v = g.add_embeddings(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "node_id bigint, vector array<float>")).add_embeddings(spark.createDataFrame([(2, [3.0])], "node_id bigint, vector array<float>"))
+    assert v.embedding(2) == [3.0] and v.embedding(1) == [1.0]
