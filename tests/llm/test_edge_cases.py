@@ -79,7 +79,7 @@ def test_mixing(messy, empty):
 
 
 def test_lm(messy, empty):
-    rows = hpylm.score(messy, burn_in=1, samples=1, moves=1).collect()
+    rows = hpylm.score(messy, burn_in=1, samples=1).collect()
     assert len(rows) == len(MESSY)
     for r in rows:
         assert (r.perplexity is None and r.log2_prob == 0) if r.n_bytes == 0 else (1 <= r.perplexity < 300 and r.log2_prob < 0)

@@ -165,52 +165,96 @@ def test_mixture_shares_and_coverage(spark):
 # --- 3 ---
 
 
-def test_gibbs_seating_has_the_exact_distribution():
-    d, s, p, n = 0.5, 1.0, 0.3, 20_000
+def _log_stirling(c, d, most):
+    """By the recursion."""
+    t = np.arange(most + 1)
+    s = np.full(most + 1, -np.inf)
+    s[1] = 0
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            s = np.logaddexp(s + np.log(np.maximum(n - d * t, 0)), np.concatenate(([-np.inf], s[:-1])))
+    return s
+
+
+def test_table_numbers_have_the_exact_distribution():
     rng = np.random.default_rng(0)
-    parent = np.full(n, p)
-    r = hpylm.Restaurants(np.arange(n), np.full(n, 3), parent, d, s, rng)
-    r.gibbs(parent, 40, rng)
-    weight = np.array([(1 - d) * (2 - d) * s * p, 3 * (1 - d) * s * (s + d) * p**2, s * (s + d) * (s + 2 * d) * p**3])
-    got = np.bincount(r.tables(), minlength=4)[1:] / n
-    assert np.abs(got - weight / weight.sum()).max() < 0.015
-
-
-def test_restaurants_keep_their_customers():
-    rng = np.random.default_rng(2)
-    rest, cust = np.repeat(np.arange(50), 8), rng.integers(1, 4000, 400)
-    parent = np.full(400, 1 / 8)
-    r = hpylm.Restaurants(rest, cust, parent, 0.7, 1.0, rng)
-    for target in (cust, np.maximum(1, cust - rng.integers(0, 5, 400)), cust + 3):
-        r.follow(target, parent, rng)
-        r.gibbs(parent, 5, rng)
-        assert (np.bincount(r.owner, r.size, minlength=400) == target).all() and (r.size > 0).all() and (np.diff(r.owner) >= 0).all()
-    q = r.predictive(parent)
-    assert np.allclose(np.bincount(rest, q), 1)
-
-
-def test_scores_by_broadcast_and_by_join_agree_and_make_sense(docs, rows):
-    model = hpylm.fit(docs, burn_in=1, samples=2, moves=2)
-    grams = {r.key: r.log2p for r in model.collect()}
-    a = {r.doc_id: r for r in hpylm.score(docs, model).collect()}
-    b = {r.doc_id: r for r in hpylm.score(docs, model, broadcast_rows=0).collect()}
-    assert a.keys() == b.keys() == rows.keys()
-    for i, r in a.items():
-        assert r.n_bytes == b[i].n_bytes == len(rows[i].text.encode()) and abs(r.log2_prob - b[i].log2_prob) < 0.01
+    for d, c, log_y in ((0.5, 2, 0.0), (0.6, 7, 1.5), (0.75, 300, 3.0), (0.4, 10_000, -1.0), (0.8, 10_000, 1.0), (0.75, 10_000, 3.0), (0.6, 10_000, 4.5)):
+        most = min(c, 400)
+        w = _log_stirling(c, d, most)[1:] + log_y * np.arange(1, most + 1)
+        p = np.exp(w - w.max())
+        p /= p.sum()
+        got = np.bincount(hpylm.draw_tables(np.full(20_000, c), np.full(20_000, log_y), d, rng), minlength=most + 1)[1 : most + 1] / 20_000
+        assert np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.03
+
+
+def test_gibbs_reaches_the_exact_seating_from_a_bad_start():
+    """Three pairs of one restaurant with thousands of customers, and small ones: within the default sweeps."""
+    d, s, rng = 0.75, 1.0, np.random.default_rng(1)
+    for cust, parent in (([10_000, 300, 2], [0.3, 0.5, 0.2]), ([3, 2, 1], [0.3, 0.3, 0.4])):
+        tops = [min(c, 260) for c in cust]
+        parts = [_log_stirling(c, d, m)[1:] + np.arange(1, m + 1) * math.log(d * p) for c, m, p in zip(cust, tops, parent, strict=True)]
+        joint = parts[0][:, None, None] + parts[1][None, :, None] + parts[2][None, None, :]
+        total = sum(np.arange(1, m + 1).reshape([-1 if i == k else 1 for i in range(3)]) for k, m in enumerate(tops))
+        joint = joint + np.vectorize(math.lgamma)(s / d + np.arange(sum(tops) + 1))[total]
+        joint = np.exp(joint - joint.max())
+        joint /= joint.sum()
+        want = [(joint.sum(axis=tuple(i for i in range(3) if i != k)) * np.arange(1, m + 1)).sum() for k, m in enumerate(tops)]
+        n = 1500
+        for start in (1, 40):
+            r = hpylm.Restaurants(np.repeat(np.arange(n), 3), np.tile(cust, n), d, s)
+            r.t = np.minimum(r.cust, start)
+            for _ in range(hpylm.BURN_IN + hpylm.SAMPLES):
+                r.gibbs(np.tile(np.log(parent), n), rng)
+            got = r.t.reshape(n, 3).mean(axis=0)
+            assert np.abs(got / want - 1).max() < 0.06, (start, got, want)
+            assert np.allclose(np.bincount(r.rest, r.predictive(np.tile(parent, n))), 1)
+
+
+def test_lm_output_against_a_slow_model(spark, docs, rows):
+    texts = [(i, r.text) for i, r in sorted(rows.items())[:120]] + [(-1, None), (-2, ""), (-3, "  \n "), (None, "a b a b a b")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    key, p = hpylm.fit_bytes(d)
+    of = dict(zip(key.tolist(), p.tolist(), strict=True))
     total = Counter()
-    for k, p in grams.items():
-        total[k // hpylm.BASE] += 2**p
+    for k, x in of.items():
+        total[k // hpylm.BASE] += 2**x
     assert max(total.values()) <= 1 + 1e-9  # what is left is for bytes that were never seen there
-    i = min(rows)
-    want, context = 0.0, [hpylm.START] * 3
-    for c in rows[i].text.encode():
-        key = 0
-        for x in (*context, c):
-            key = key * hpylm.BASE + x
-        want += grams[key]
-        context = [*context[1:], c]
-    assert abs(want - a[i].log2_prob) < 0.05
-    assert np.median([r.perplexity for r in a.values() if r.n_bytes > 500]) < 12
+    seen, told = defaultdict(Counter), {}
+    for i, t in texts:
+        raw, spelled, symbols = (t or "").encode(), [], [hpylm.START] * 2
+        for c in raw:
+            spelled.append(of[(symbols[-2] * hpylm.BASE + symbols[-1]) * hpylm.BASE + c])
+            symbols.append(c)
+        w, context, rest, at = [], ("", "s"), sum(spelled), 0
+        for token in raw.split():
+            at = raw.index(token, at)
+            end = min(len(raw), at + len(token) + 1)
+            word, base = raw[at:end] + (b"" if end > at + len(token) else b"$"), sum(spelled[at:end])
+            w.append((context, word, base))
+            rest -= base
+            seen[context][word] += 1
+            context, at = (context[1], word), at + len(token)
+        told[i] = (len(raw), w, rest)
+    got = {r.doc_id: r for r in hpylm.score(d).collect()}
+    assert got.keys() == told.keys()
+    dd, s = hpylm.WORD_DISCOUNT, hpylm.WORD_STRENGTH
+    for i, (n, w, rest) in told.items():
+        want = rest
+        for context, word, base in w:  # spelling a word is so unlikely that a pair hardly ever has a second table
+            c = seen[context]
+            want += math.log2((c[word] - dd + (s + dd * len(c)) * 2**base) / (s + sum(c.values())))
+        assert got[i].n_bytes == n and abs(got[i].log2_prob - want) <= 0.02 * abs(want) + 0.5
+        assert got[i].perplexity is None if n == 0 else math.isclose(got[i].perplexity, 2 ** (-got[i].log2_prob / n), rel_tol=0.02)
+
+
+def test_documents_that_come_twice_score_apart(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(300)]
+    rows = [(i, " ".join(vocabulary[k] for k in rng.integers(0, 300, 200))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(60)]
+    got = {r.doc_id: r.perplexity for r in hpylm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    once, twice = [got[i] for i in range(60, 300)], [got[i] for i in range(60)]
+    assert max(twice) < min(once)
 
 
 # --- 4 ---
