@@ -240,10 +240,10 @@ def test_lm_output_against_a_slow_model(spark, docs, rows):
     dd, s = hpylm.WORD_DISCOUNT, hpylm.WORD_STRENGTH
     for i, (n, w, rest) in told.items():
         want = rest
-        for context, word, base in w:  # spelling a word is so unlikely that a pair hardly ever has a second table
+        for context, word, base in w:  # spelling a word is so unlikely that a pair seldom has a second table
             c = seen[context]
             want += math.log2((c[word] - dd + (s + dd * len(c)) * 2**base) / (s + sum(c.values())))
-        assert got[i].n_bytes == n and abs(got[i].log2_prob - want) <= 0.02 * abs(want) + 0.5
+        assert got[i].n_bytes == n and abs(got[i].log2_prob - want) <= 0.05 * abs(want) + 0.5
         assert got[i].perplexity is None if n == 0 else math.isclose(got[i].perplexity, 2 ** (-got[i].log2_prob / n), rel_tol=0.02)
 
 
