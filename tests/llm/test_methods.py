@@ -383,29 +383,53 @@ def test_link_is_single_linkage():
 # --- 6 ---
 
 
-def test_toxicity_held_out(spark):
+@pytest.fixture(scope="module")
+def labelled(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    seen = toxicity.train(d.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 <> 0"))
-    rest = d.where("doc_id % 4 = 0").join(labels, "doc_id")
-    truth = {r.doc_id: r.toxic for r in rest.select("doc_id", "toxic").collect()}
-    found = {r.doc_id for r in toxicity.toxic_documents(rest, labels, seen).collect()}
-    toxic = {i for i, t in truth.items() if t}
-    assert len(found & toxic) / len(toxic) > 0.45
-    assert len(found - toxic) / (len(truth) - len(toxic)) < 0.02
+    fit, fit_labels = d.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 <> 0")
+    rest = d.where("doc_id % 4 = 0").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").select("doc_id", "toxic", "text").collect()
+    return fit, fit_labels, rest
 
 
-def test_toxic_passage_counts_in_a_long_text(spark):
-    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    detector = toxicity.train(d.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 <> 0"))
-    rest = d.where("doc_id % 4 = 0 AND length(text) > 500").join(labels, "doc_id").select("toxic", "text").collect()
-    score = {r.text: detector.score(r.text.encode()) for r in rest}
-    toxic = [r.text for r in rest if r.toxic]
-    clean = " ".join([min((r.text for r in rest if not r.toxic), key=lambda t: score[t][3])] * 40)
+def _rates(detector, rest):
+    hit = {1: [], 0: []}
+    for r in rest:
+        hit[r.toxic].append(detector.score(r.text.encode())[0] > detector.threshold)
+    return np.mean(hit[1]), np.mean(hit[0])
+
+
+def test_toxicity_held_out(labelled):
+    fit, labels, rest = labelled
+    found, false = _rates(toxicity.train(fit, labels), rest)
+    plain, plain_false = _rates(toxicity.train(fit, labels, by_stems=False), rest)
+    print("held out: recall", found, "false", false, "raw dictionaries:", plain, plain_false)
+    assert found > 0.5 and false < 0.02
+    assert found - false > plain - plain_false + 0.2  # why the toxic dictionary is made of words with toxic stems
+
+
+def test_toxic_query_is_the_detector_over_all_rows(spark, sf):
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    detector = toxicity.train(d, labels)
+    want = {r.doc_id for r in d.collect() if detector.score(r.text.encode())[0] > detector.threshold}
+    assert {r.doc_id for r in toxicity.op6_toxicity(spark, sf).collect()} == want
+
+
+def test_toxic_passage_counts_in_a_long_text(labelled):
+    fit, labels, rest = labelled
+    detector = toxicity.train(fit, labels)
+    score = {r.text: detector.score(r.text.encode()) for r in rest if len(r.text) > 500}
+    toxic = [r.text for r in rest if r.toxic and r.text in score]
+    clean = [r.text for r in rest if not r.toxic and r.text in score and score[r.text][0] <= 0]
+    long = " ".join(clean)[:50_000]
     alone = np.array([score[t][0] > detector.threshold for t in toxic])
-    inside = np.array([detector.score(f"{clean} {t} {clean}".encode())[0] > detector.threshold for t in toxic])
-    assert alone.sum() > 20 and detector.score(clean.encode())[0] <= detector.threshold
-    assert inside.sum() >= 0.9 * alone.sum()  # single ones fall on either side of the threshold as the windows shift
-    w = np.random.default_rng(2).normal(-0.3, 1, 40)
+    inside = np.array([detector.score(f"{long} {t} {long}".encode())[0] > detector.threshold for t in toxic])
+    print("alone", alone.mean(), "within 100000 clean characters", inside.mean())
+    assert alone.sum() > 20 and detector.score(f"{long} {long}".encode())[0] <= detector.threshold
+    assert (alone & inside).sum() >= 0.8 * alone.sum()
+    rng = np.random.default_rng(3)
+    mixed = [" ".join(clean[k] for k in rng.choice(len(clean), 60)) for _ in range(40)]
+    assert np.mean([detector.score(t.encode())[0] > detector.threshold for t in mixed]) <= 0.1
+    w = rng.normal(-0.3, 1, 40)
     assert math.isclose(toxicity.best_run(w), max(w[i:j].sum() for i in range(40) for j in range(i + 1, 41)))
 
 
