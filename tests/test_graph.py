@@ -419,3 +419,21 @@ def test_cypher_tables_and_walks_from_the_middle(spark):
     assert left.live_edges.count() == 3
     v = g.add_embeddings(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "node_id bigint, vector array<float>")).add_embeddings(spark.createDataFrame([(2, [3.0])], "node_id bigint, vector array<float>"))
     assert v.embedding(2) == [3.0] and v.embedding(1) == [1.0]
+
+
+@pytest.mark.parametrize("colour", [4, 7, 1000])
+def test_triangles_of_groups(spark, monkeypatch, colour):
+    """Against plain Python: ids with equal groups, ids alone, missing values, and several colours."""
+    rng = random.Random(colour)
+    rows = [(i, rng.randrange(9)) for i in range(26) for _ in range(rng.choice((1, 1, 2)))]
+    rows += [(i + 100, g) for i, g in rows if i % 3 == 0] + [(i + 200, g) for i, g in rows if i % 6 == 0] + [(500, 77), (None, 1), (501, None), rows[0]]
+    of = defaultdict(set)
+    for i, g in rows:
+        if i is not None and g is not None:
+            of[i].add(g)
+    v = sorted(of)
+    near = {a: {b for b in v if b > a and of[a] & of[b]} for a in v}
+    monkeypatch.setattr(analytics, "COLOUR", colour)
+    got = analytics.clique_triangles(spark.createDataFrame(rows, "id bigint, group bigint"))
+    assert got.first().triangles == sum(len(near[a] & near[b]) for a in v for b in near[a])
+    assert analytics.clique_triangles(spark.createDataFrame([], "id bigint, group bigint")).first().triangles == 0
