@@ -437,3 +437,32 @@ def test_triangles_of_groups(spark, monkeypatch, colour):
     got = analytics.clique_triangles(spark.createDataFrame(rows, "id bigint, group bigint"))
     assert got.first().triangles == sum(len(near[a] & near[b]) for a in v for b in near[a])
     assert analytics.clique_triangles(spark.createDataFrame([], "id bigint, group bigint")).first().triangles == 0
+
+
+COUNTED = [
+    "MATCH (a:S)-[:IN]->(n:N)<-[:IN]-(b:S) MATCH (p:P)-[:BY]->(b) WHERE NOT (p)-[:BY]->(a) RETURN a.name AS a, count(p) AS n",
+    "MATCH (a:S)-[:IN]->(n:N)<-[:IN]-(b:S) MATCH (p:P)-[:BY]->(b) WHERE (p)-[:BY]->(a) AND b.w > 2 RETURN a.name AS a, count(*) AS n, count(p) AS m",
+    "MATCH (p:P)-[x:BY]->(a)<-[y:BY]-(q) WHERE p.w < 4 RETURN p.name AS a, q.name AS b, count(y) AS n",
+    "MATCH (p)-[x]->(a)-[y]->(q) RETURN p.label AS a, count(y) AS n",
+    "MATCH (p)<-[x]-(a:S)<-[y:BY]-(q) WHERE NOT (q)-[:BY]->(:S {w: 1}) RETURN p.name AS a, count(y) AS n",
+    "MATCH (p:P)-[x:BY]->(a)<-[y]-(q) MATCH (q)-[:IN]->(m) RETURN m.name AS a, count(x) AS n",
+]
+
+
+@pytest.mark.parametrize("text", COUNTED)
+def test_counts_without_listing(spark, monkeypatch, text):
+    """The same counts as from all matches, with parallel edges, loops and repeated names; and no plan that lists them."""
+    rng = random.Random(5)
+    nodes = [(i, "N", f"n{i}", i) for i in range(3)] + [(10 + i, "S", f"s{i // 2}", i) for i in range(8)] + [(30 + i, "P", f"p{i // 2}", i) for i in range(9)]
+    edges = [(10 + i, i % 3, "IN") for i in range(8)] + [(rng.randrange(30, 39), rng.randrange(10, 18), "BY") for _ in range(45)]
+    edges += [(x, x, "BY") for x in (11, 11, 12, 31)] + [(30, 1, "IN"), (30, 1, "IN"), (99, 10, "BY"), (12, 13, "BY"), (31, 12, "IN")]
+    g = Graph.from_rows(spark, nodes, edges, "id bigint, label string, name string, w int")
+    calls = []
+    real = cypher.Compiler.project
+    monkeypatch.setattr(cypher.Compiler, "project", lambda self, *a: calls.append(1) or real(self, *a))
+    got = cypher.query(g, text)
+    assert not calls
+    got = Counter(map(tuple, got.collect()))
+    monkeypatch.setattr(cypher, "count_matches", lambda *a: None)
+    want = Counter(map(tuple, cypher.query(g, text).collect()))
+    assert calls and want and got == want
