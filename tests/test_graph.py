@@ -466,3 +466,23 @@ def test_counts_without_listing(spark, monkeypatch, text):
     monkeypatch.setattr(cypher, "count_matches", lambda *a: None)
     want = Counter(map(tuple, cypher.query(g, text).collect()))
     assert calls and want and got == want
+
+
+def test_ranges_of_vectors(spark, monkeypatch):
+    """Several ranges: every pair and every neighbour as in plain Python, with copies, a zero vector and a missing one; no vector is sent once for each block."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((90, 4)), 1)
+    x[5], x[60], x[61] = x[7], 0, x[7]
+    rows = [(i + 1, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    monkeypatch.setattr(vector, "RANGE", 20)
+    n = np.linalg.norm(x, axis=1)
+    c = x @ x.T / np.outer(np.where(n, n, 1), np.where(n, n, 1))
+    got = sorted((r.a, r.b) for r in vector.similarity_join(df, 0.8).collect())
+    assert got == [(i + 1, j + 1) for i in range(90) for j in range(i + 1, 90) if c[i, j] >= 0.8]
+    for queries in (None, df.where("id % 50 = 0")):
+        got = sorted((r.id, r["rank"], r.other) for r in vector.knn_join(df, 3, queries=queries).collect())
+        want = [(i + 1, k + 1, j + 1) for i in range(90) if queries is None or (i + 1) % 50 == 0 for k, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-round(c[i, j], 12), j))[:3])]
+        assert got == want
