@@ -486,3 +486,13 @@ def test_ranges_of_vectors(spark, monkeypatch):
         got = sorted((r.id, r["rank"], r.other) for r in vector.knn_join(df, 3, queries=queries).collect())
         want = [(i + 1, k + 1, j + 1) for i in range(90) if queries is None or (i + 1) % 50 == 0 for k, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-round(c[i, j], 12), j))[:3])]
         assert got == want
+
+
+def test_tasks_follow_the_input(spark, sf, monkeypatch):
+    """The shuffles of bought and supplied edges have as many tasks as the size of the input asks for, whatever the session's number."""
+    from graphlake import session
+    from graphlake.sources import tables
+
+    monkeypatch.setattr(session, "fan_out", lambda *a, **k: 13)
+    for label in ("PURCHASED", "SUPPLIED_BY"):
+        assert tables.edges(spark, sf, label).rdd.getNumPartitions() == 13
