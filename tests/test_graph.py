@@ -488,6 +488,26 @@ def test_ranges_of_vectors(spark, monkeypatch):
         assert got == want
 
 
+def test_blocks_are_read_and_not_shuffled(spark, monkeypatch):
+    """Blocks meet without an exchange of copies, each written once; rows without id are left out, and double precision decides at the threshold."""
+    x = [[1.0, 0.0], [3.0, 4.0], [0.6, 0.8], [4.0, 3.0], [0.6000001, 0.8], [0.5999999, 0.8]] * 3
+    rows = [(i, v) for i, v in enumerate(x)] + [(None, [1.0, 0.0])]
+    monkeypatch.setattr(vector, "RANGE", 3)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id bigint, embedding array<{kind}>")
+        out = vector.similarity_join(df, 0.6)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        u = [[float(c) for c in r.embedding] for r in df.where("id IS NOT NULL").orderBy("id").collect()]
+        u = [[c / (r[0] ** 2 + r[1] ** 2) ** 0.5 for c in r] for r in u]
+        c = {(i, j): u[i][0] * u[j][0] + u[i][1] * u[j][1] for i in range(18) for j in range(i + 1, 18)}
+        got = {(r.a, r.b) for r in out.collect()}
+        assert {p for p in c if c[p] >= 0.6 + 1e-12} <= got <= {p for p in c if c[p] >= 0.6 - 1e-12} and out.count() == len(got) < len(c)
+        near = vector.knn_join(df, 2, queries=df.where("id < 4"))
+        assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted((r.id, r["rank"]) for r in near.collect()) == [(i, k) for i in range(4) for k in (1, 2)]
+
+
 def test_tasks_follow_the_input(spark, sf, monkeypatch):
     """The shuffles of bought and supplied edges have as many tasks as the size of the input asks for, whatever the session's number."""
     from graphlake import session
