@@ -468,6 +468,22 @@ def test_counts_without_listing(spark, monkeypatch, text):
     assert calls and want and got == want
 
 
+def test_equal_relationships_are_written_once(spark, monkeypatch):
+    """Relationships of one pattern with the same types and properties share one table, also where both are the same one."""
+    from graphlake.plans import counting
+
+    nodes = [(1, "S", "s"), (2, "P", "p"), (3, "P", "q")]
+    g = Graph.from_rows(spark, nodes, [(2, 1, "BY"), (2, 1, "BY"), (3, 1, "BY"), (3, 1, "IN")], "id bigint, label string, name string")
+    calls = []
+    real = counting.cut
+    monkeypatch.setattr(counting, "cut", lambda df: calls.append(1) or real(df))
+    got = cypher.query(g, "MATCH (p:P)-[x:BY]->(a)<-[y:BY]-(q) RETURN p.name AS a, count(y) AS n")
+    assert {tuple(r) for r in got.collect()} == {("p", 4), ("q", 2)} and len(calls) == 1
+    calls.clear()
+    got = cypher.query(g, "MATCH (p:P)-[x:BY]->(a)<-[y]-(q) RETURN p.name AS a, count(y) AS n")
+    assert {tuple(r) for r in got.collect()} == {("p", 6), ("q", 3)} and len(calls) == 3
+
+
 def test_ranges_of_vectors(spark, monkeypatch):
     """Several ranges: every pair and every neighbour as in plain Python, with copies, a zero vector and a missing one; no vector is sent once for each block."""
     import numpy as np
